@@ -53,4 +53,5 @@ def load_all() -> None:
     from foliary.plans import (  # noqa: F401
         catalog_queries,
         report_queries,
+        search_queries,
     )
