@@ -113,11 +113,12 @@ def stem_tokens(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem_word(w) for w in ws])
 
 
-def lexeme_positions(text: Column, stem: bool = True) -> Column:
+def lexeme_positions(
+    text: Column, stem: bool = True, wanted: list[str] | None = None
+) -> Column:
     """``array<struct<lexeme, pos>>`` without stop words; positions count every
-    word from 1."""
+    word from 1.  ``wanted`` keeps only these lexemes."""
     words = tokens(text)
-    stop = F.array(*[F.lit(w) for w in fv.TEXT_STOP_WORDS])
     forms = stem_tokens(words) if stem else words
     placed = F.zip_with(
         forms,
@@ -126,10 +127,25 @@ def lexeme_positions(text: Column, stem: bool = True) -> Column:
             lexeme.alias("lexeme"), p["pos"].alias("pos"), p["word"].alias("word")
         ),
     )
-    kept = F.filter(placed, lambda p: ~F.array_contains(stop, p["word"]))
+    if wanted is not None:
+        placed = F.filter(placed, lambda p: p["lexeme"].isin(wanted))
+    kept = F.filter(placed, lambda p: ~p["word"].isin(fv.TEXT_STOP_WORDS))
     return F.transform(kept, lambda p: p.dropFields("word"))
 
 
+def may_contain(text: Column, lexemes: list[str], stem: bool = True) -> Column:
+    """Cheap test that holds for every text with one of the lexemes.  Stemming
+    changes at most the last two letters of what it keeps of a word."""
+    starts = [x[:-2] if stem else x for x in lexemes]
+    if any(len(x) < 2 for x in starts):
+        return F.lit(True)
+    lowered = F.lower(text)
+    hit = F.lit(False)
+    for x in dict.fromkeys(starts):
+        hit = hit | lowered.contains(x)
+    return hit
+
+
 def query_lexemes(query: str, stem: bool = True) -> list[str]:
     """Distinct lexemes of a query text, by the rules of the documents."""
     import regex

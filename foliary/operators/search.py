@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary import fixed_values as fv
-from foliary.functions.lexemes import lexeme_positions, query_lexemes
+from foliary.functions.lexemes import lexeme_positions, may_contain, query_lexemes
 from foliary.functions.text import query_label
 from foliary.functions.vectors import cosine_similarity
 from foliary.operators import filters
@@ -48,8 +48,9 @@ def hits_in_text(catalog: DataFrame, lexemes: Sequence[str], stem: bool = True)
     """Word hits found by scanning the text.  Positions are matched inside the
     row; only the hits are exploded."""
     wanted = list(lexemes)
-    found = F.filter(lexeme_positions(searchable_text(), stem), lambda p: p["lexeme"].isin(wanted))
-    return catalog.select("id", F.explode(found).alias("p")).select("id", "p.lexeme", "p.pos")
+    likely = catalog.filter(may_contain(searchable_text(), wanted, stem))
+    found = lexeme_positions(searchable_text(), stem, wanted)
+    return likely.select("id", F.explode(found).alias("p")).select("id", "p.lexeme", "p.pos")
 
 
 def hits_in_postings(index: DataFrame, lexemes: Sequence[str]) -> DataFrame:

@@ -52,6 +52,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from foliary.plans import (  # noqa: F401
         catalog_queries,
+        entity_queries,
         report_queries,
         search_queries,
     )
