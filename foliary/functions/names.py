@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from foliary import fixed_values as fv
 from foliary.functions.payer import remove
 from foliary.functions.text import (
+    bind,
     blank_to_null,
     first_match,
     repair_compound_names,
@@ -35,14 +36,16 @@ def clean_client(raw: Column) -> Column:
     s = strip(squeeze(s))
     s = remove(s, r"[,\.\-:\s]+$")
     s = remove(s, r"^the\s+")
-    s = title_case(s)
     garbage = "(?iU)" + "|".join(f"(?:{p})" for p in fv.GARBAGE_PATTERNS)
-    keep = (
-        (word_count(s) >= fv.MIN_CLIENT_TOKENS)
-        & ~F.upper(s).isin(fv.GARBAGE_NAMES)
-        & ~raw.rlike(garbage)
+    return bind(
+        title_case(s),
+        lambda c: F.when(
+            (word_count(c) >= fv.MIN_CLIENT_TOKENS)
+            & ~F.upper(c).isin(fv.GARBAGE_NAMES)
+            & ~raw.rlike(garbage),
+            c,
+        ),
     )
-    return F.when(keep, s)
 
 
 def comparison_form(name: Column) -> Column:
@@ -97,12 +100,14 @@ def party_rule_at_merge(name: Column) -> Column:
     ]
     state = F.coalesce(*[first_match(name, "(?iU)" + f) for f in forms])
     state = title_case(F.regexp_replace(strip(state), "(?i)n$", ""))
-    known = [title for title in (n.title() for n in fv.STATE_ABBREVIATIONS)]
-    return F.when(state.isin(known), F.concat(state, F.lit(" Republican Party")))
+    known = [n.title() for n in fv.STATE_ABBREVIATIONS]
+    return bind(
+        state, lambda s: F.when(s.isin(known), F.concat(s, F.lit(" Republican Party")))
+    )
 
 
 def _if_changed(new: Column, old: Column) -> Column:
-    return F.when((new != "") & (F.lower(new) != F.lower(old)), new)
+    return bind(new, lambda n: F.when((n != "") & (F.lower(n) != F.lower(old)), n))
 
 
 def office_rule(name: Column) -> Column:
@@ -122,16 +127,19 @@ def canonical_rules(name: Column) -> Column:
 def resolved(name: Column, override: Column) -> Column:
     """``struct(client_canonical, resolution_source)``: override, then rules,
     then the name itself."""
-    rule = canonical_rules(name)
     present = name != ""
-    return F.struct(
-        F.when(present, F.coalesce(override, rule, name)).alias("client_canonical"),
-        F.when(~present | name.isNull(), F.lit(None))
-        .when(override.isNotNull(), "manual")
-        .when(rule.isNotNull(), "rule")
-        .otherwise("passthrough")
-        .alias("resolution_source"),
-    )
+
+    def labelled(rule):
+        return F.struct(
+            F.when(present, F.coalesce(override, rule, name)).alias("client_canonical"),
+            F.when(~present | name.isNull(), F.lit(None))
+            .when(override.isNotNull(), "manual")
+            .when(rule.isNotNull(), "rule")
+            .otherwise("passthrough")
+            .alias("resolution_source"),
+        )
+
+    return bind(F.when(override.isNull(), canonical_rules(name)), labelled)
 
 
 # --- names from the analysis -----------------------------------------------
@@ -143,12 +151,15 @@ def clean_found_name(raw: Column) -> Column:
     name = remove(name, r"['\"]+$")
     name = remove(name, fv.TITLE_PREFIX)
     name = remove(name, fv.SUMMARY_OFFICE_TAIL)
-    tokens = words(name)
-    stops = F.transform(
-        tokens, lambda w, i: F.when(F.lower(w).isin(fv.NAME_END_WORDS), i)
-    )
-    cut = F.coalesce(F.array_min(stops), F.size(tokens))
-    name = F.array_join(F.slice(tokens, F.lit(1), cut), " ")
+
+    def until_connector(tokens):
+        stops = F.transform(
+            tokens, lambda w, i: F.when(F.lower(w).isin(fv.NAME_END_WORDS), i)
+        )
+        cut = F.coalesce(F.array_min(stops), F.size(tokens))
+        return F.array_join(F.slice(tokens, F.lit(1), cut), " ")
+
+    name = bind(words(name), until_connector)
     return title_case(remove(name, r"[,\.\-:]+$"))
 
 
@@ -168,56 +179,59 @@ def name_from_mappings(mappings: Column) -> Column:
     opponents = F.transform(
         picked(lambda m: m["mapped_subcategory"] == fv.MAPPING_OPPONENT), F.lower
     )
-    candidates = F.filter(
-        picked(
-            lambda m: (m["mapped_subcategory"] == fv.MAPPING_CANDIDATE)
-            & (m["mapped_canonical_term"] == fv.MAPPING_NAME_TERM)
-        ),
-        lambda c: ~F.array_contains(opponents, F.lower(c)),
+    exact = picked(
+        lambda m: (m["mapped_subcategory"] == fv.MAPPING_CANDIDATE)
+        & (m["mapped_canonical_term"] == fv.MAPPING_NAME_TERM)
     )
-    ranked = F.transform(
-        F.array_distinct(candidates),
-        lambda c, i: F.struct(
-            F.size(F.filter(candidates, lambda d: d == c)).alias("count"),
-            (-i).alias("order"),
-            c.alias("name"),
-        ),
+    candidates = bind(
+        opponents,
+        lambda o: F.filter(exact, lambda c: ~F.array_contains(o, F.lower(c))),
     )
-    return F.array_max(ranked)["name"]
-
 
-def _tier(name: Column, confidence: str, tier: str, accept: Column) -> Column:
-    return F.when(
-        accept,
-        F.struct(
-            name.alias("client_from_ai"),
-            F.lit(confidence).alias("ai_confidence"),
+    def most_frequent(found):
+        return F.array_max(
+            F.transform(
+                F.array_distinct(found),
+                lambda c, i: F.struct(
+                    F.size(F.filter(found, lambda d: d == c)).alias("count"),
+                    (-i).alias("order"),
+                    c.alias("name"),
+                ),
+            )
+        )["name"]
+
+    return bind(candidates, most_frequent)
+
+
+def _first_usable(summary: Column, patterns, tier: str, rejected: list[str]) -> Column:
+    """Name of the first pattern that gives at least two words and none of the
+    rejected ones."""
+    matches = F.array(
+        *[
+            F.struct(
+                first_match(summary, "(?iU)" + pattern).alias("text"),
+                F.lit(confidence).alias("confidence"),
+            )
+            for pattern, confidence in patterns
+        ]
+    )
+    cleaned = F.transform(
+        F.filter(matches, lambda m: m["text"].isNotNull()),
+        lambda m: F.struct(
+            clean_found_name(m["text"]).alias("client_from_ai"),
+            m["confidence"].alias("ai_confidence"),
             F.lit(tier).alias("source_tier"),
         ),
     )
 
+    def usable(name):
+        ok = word_count(name) >= 2
+        if rejected:
+            bad = F.array(*[F.lit(w) for w in rejected])
+            ok = ok & ~F.arrays_overlap(words(F.lower(name)), bad)
+        return ok
 
-def names_from_summary(summary: Column) -> list[Column]:
-    """One tier per summary pattern, in order of precedence."""
-    tiers = []
-    for pattern, confidence in fv.SUMMARY_PATTERNS:
-        name = clean_found_name(first_match(summary, "(?iU)" + pattern))
-        tokens = words(F.lower(name))
-        rejected = F.arrays_overlap(
-            tokens, F.array(*[F.lit(w) for w in fv.SUMMARY_REJECT_WORDS])
-        )
-        tiers.append(
-            _tier(name, confidence, "tier2_summary", (F.size(tokens) >= 2) & ~rejected)
-        )
-    return tiers
-
-
-def names_from_attack(summary: Column) -> list[Column]:
-    tiers = []
-    for pattern in fv.ATTACK_PATTERNS:
-        name = clean_found_name(first_match(summary, "(?iU)" + pattern))
-        tiers.append(_tier(name, "MEDIUM", "tier3_attack", word_count(name) >= 2))
-    return tiers
+    return F.get(F.filter(cleaned, lambda c: usable(c["client_from_ai"])), F.lit(0))
 
 
 def name_from_analysis(
@@ -227,19 +241,28 @@ def name_from_analysis(
 
     ``attack=False`` leaves out the third tier, as the one-document path does.
     """
-    exact = name_from_mappings(mappings)
     nothing = F.lit(None).cast("string")
     last = F.lit("no_match") if broken is None else F.when(broken, "parse_error").otherwise("no_match")
-    tiers = [_tier(exact, "HIGH", "tier1_keyword", exact.isNotNull())]
-    tiers += names_from_summary(summary)
-    if attack:
-        tiers += names_from_attack(summary)
-    fallback = F.struct(
-        nothing.alias("client_from_ai"),
-        nothing.alias("ai_confidence"),
-        last.alias("source_tier"),
+
+    def found(name, confidence, tier):
+        return F.struct(
+            name.alias("client_from_ai"),
+            confidence.alias("ai_confidence"),
+            tier.alias("source_tier"),
+        )
+
+    exact = bind(
+        name_from_mappings(mappings),
+        lambda n: F.when(n.isNotNull(), found(n, F.lit("HIGH"), F.lit("tier1_keyword"))),
     )
-    return F.coalesce(*tiers, fallback)
+    tiers = [
+        exact,
+        _first_usable(summary, fv.SUMMARY_PATTERNS, "tier2_summary", fv.SUMMARY_REJECT_WORDS),
+    ]
+    if attack:
+        patterns = [(p, "MEDIUM") for p in fv.ATTACK_PATTERNS]
+        tiers.append(_first_usable(summary, patterns, "tier3_attack", []))
+    return F.coalesce(*tiers, found(nothing, nothing, last))
 
 
 # --- merging ---------------------------------------------------------------
@@ -251,8 +274,13 @@ def clean_ai_name(raw: Column) -> Column:
     for pattern in (fv.TITLE_PREFIX, fv.MERGE_OFFICE_TAIL, r"[,\.\-:]+$"):
         name = remove(name, pattern)
     name = repair_compound_names(title_case(name))
-    usable = (F.length(name) >= 3) & ~F.lower(name).isin(fv.AI_NAME_STOP_WORDS)
-    return F.coalesce(party_rule_at_merge(name), F.when(usable, name))
+    return bind(
+        name,
+        lambda n: F.coalesce(
+            party_rule_at_merge(n),
+            F.when((F.length(n) >= 3) & ~F.lower(n).isin(fv.AI_NAME_STOP_WORDS), n),
+        ),
+    )
 
 
 def clean_fallback_name(name: Column) -> Column:

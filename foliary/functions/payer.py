@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliary import fixed_values as fv
 from foliary.functions.text import (
+    bind,
     blank_to_null,
     first_match,
     squeeze,
@@ -52,24 +53,48 @@ def payer_name(raw: Column) -> Column:
 
 def committee_to_person(committee: Column) -> Column:
     """Bare candidate name inside a committee name; null for organisations."""
-    name = remove(strip(committee), fv.COMMITTEE_LEAD)
-    name = remove(name, fv.COMMITTEE_TAIL)
-    placeless = remove(name, fv.COMMITTEE_PLACE)
-    name = F.when(word_count(placeless) >= 2, placeless).otherwise(name)
-    name = remove(name, fv.COMMITTEE_PARTY)
-    name = remove(name, fv.COMMITTEE_YEAR)
-    is_person = ~name.rlike("(?iU)" + fv.ORGANISATION_WORDS) & (word_count(name) >= 2)
-    return F.when(is_person, name)
+    name = remove(remove(strip(committee), fv.COMMITTEE_LEAD), fv.COMMITTEE_TAIL)
+
+    def without_place(n):
+        return bind(
+            remove(n, fv.COMMITTEE_PLACE),
+            lambda p: F.when(word_count(p) >= 2, p).otherwise(n),
+        )
+
+    name = remove(remove(bind(name, without_place), fv.COMMITTEE_PARTY), fv.COMMITTEE_YEAR)
+    return bind(
+        name,
+        lambda n: F.when(
+            ~n.rlike("(?iU)" + fv.ORGANISATION_WORDS) & (word_count(n) >= 2), n
+        ),
+    )
 
 
-def _named(name: Column, confidence) -> Column:
+def named(name: Column, confidence: Column | str) -> Column:
+    """``struct(name, confidence)``, null without a name."""
     if isinstance(confidence, str):
         confidence = F.lit(confidence)
-    return F.when(
-        name.isNotNull(), F.struct(name.alias("name"), confidence.alias("confidence"))
+    return bind(
+        name,
+        lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), confidence.alias("confidence"))),
     )
 
 
+def voted_name(text: Column) -> Column:
+    """Name in "Vote X" or "Elect X"."""
+    return F.coalesce(
+        *[title_case(strip(first_match(text, "(?U)" + p))) for p in fv.VOTE_FOR_NAME]
+    )
+
+
+def name_for_office(text: Column) -> Column:
+    return strip(first_match(text, "(?U)" + fv.NAME_FOR_OFFICE))
+
+
+def name_in_domain(text: Column) -> Column:
+    return first_match(text, fv.NAME_IN_DOMAIN)
+
+
 def capitals_phrases(text: Column) -> Column:
     """Phrases of two or three capitalised words that may be a name."""
     found = F.transform(
@@ -99,28 +124,14 @@ def frequent_phrase(text: Column, phrases: Column) -> Column:
             count.alias("count"),
         )
 
-    best = F.array_max(F.transform(F.array_distinct(phrases), rank))
-    return F.when(
-        ~F.arrays_overlap(F.split(best["phrase"], " "), slogans),
-        _named(
-            title_case(best["phrase"]),
-            F.when(best["count"] >= 2, "HIGH").otherwise("MEDIUM"),
-        ),
-    )
-
+    def judged(best):
+        confidence = F.when(best["count"] >= 2, "HIGH").otherwise("MEDIUM")
+        return F.when(
+            ~F.arrays_overlap(F.split(best["phrase"], " "), slogans),
+            F.struct(title_case(best["phrase"]).alias("name"), confidence.alias("confidence")),
+        )
 
-def name_in_body(text: Column, phrases: Column) -> Column:
-    """``struct(name, confidence)`` from the document body, best signal first:
-    "Vote X", a repeated phrase in capitals, "X for Office", a web address."""
-    voted = F.coalesce(
-        *[title_case(strip(first_match(text, "(?U)" + p))) for p in fv.VOTE_FOR_NAME]
-    )
-    return F.coalesce(
-        _named(voted, "HIGH"),
-        frequent_phrase(text, phrases),
-        _named(strip(first_match(text, "(?U)" + fv.NAME_FOR_OFFICE)), "MEDIUM"),
-        _named(first_match(text, fv.NAME_IN_DOMAIN), "LOW"),
-    )
+    return bind(F.array_max(F.transform(F.array_distinct(phrases), rank)), judged)
 
 
 def client_decision(

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliary import fixed_values as fv
-from foliary.functions.text import first_match
+from foliary.functions.text import bind, first_match
 
 _NAMES = "|".join(sorted(fv.STATE_ABBREVIATIONS, key=len, reverse=True))
 _SPELLED = rf"(?iU)\b({_NAMES})\b"
@@ -14,6 +14,21 @@ _FOR_STATE = rf"(?iU)\bfor\s+({_NAMES})\b"
 _STATE_OFFICE = rf"(?iU)\b({_NAMES})\s+(?:{fv.RACE_OFFICES})"
 
 
+def _grouped_by_initial() -> str:
+    """The lower-cased names as one alternation per first letter, so that most
+    words of a text fail after one comparison."""
+    by_initial: dict[str, list[str]] = {}
+    for name in sorted(fv.STATE_ABBREVIATIONS, key=len, reverse=True):
+        by_initial.setdefault(name[0].lower(), []).append(name[1:].lower())
+    groups = "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(by_initial.items()))
+    word = r"[\p{L}\p{N}_]"
+    return rf"(?<!{word})(?=[{''.join(sorted(by_initial))}])({groups})(?!{word})"
+
+
+_SPELLED_LOWER = _grouped_by_initial()
+_ANY_MARKER = "|".join(f"(?:{p})" for p, _ in fv.STATE_MARKERS)
+
+
 def _abbreviation_map() -> Column:
     pairs = []
     for name, abbreviation in fv.STATE_ABBREVIATIONS.items():
@@ -44,26 +59,33 @@ def payer_block(text: Column) -> Column:
     """The address block: from "paid for by" to the first blank line when that
     is at a plausible distance, else a fixed length; the whole text when there
     is no payer line."""
-    after = first_match(text, r"(?isU)(paid\s+for\s+by.*)")
-    to_blank = F.length(F.get(F.split(after, r"(?U)\n\s*\n", 2), F.lit(0)))
-    has_blank = to_blank < F.length(after)
     floor, limit = fv.ADDRESS_BLOCK["floor"], fv.ADDRESS_BLOCK["limit"]
-    width = F.when(has_blank & (to_blank > floor) & (to_blank < limit), to_blank).otherwise(limit)
-    return F.when(after.isNotNull(), F.substr(after, F.lit(1), width)).otherwise(text)
+
+    def cut(after):
+        to_blank = F.length(F.get(F.split(after, r"(?U)\n\s*\n", 2), F.lit(0)))
+        near = (to_blank < F.length(after)) & (to_blank > floor) & (to_blank < limit)
+        return F.substr(after, F.lit(1), F.when(near, to_blank).otherwise(limit))
+
+    return F.coalesce(bind(first_match(text, r"(?isU)(paid\s+for\s+by.*)"), cut), text)
 
 
 def _with_contained_names(names: Column) -> Column:
     """"West Virginia" also counts as a mention of "Virginia"."""
-    contained = F.transform(
-        F.filter(names, lambda n: n == "west virginia"), lambda n: F.lit("virginia")
+    return bind(
+        names,
+        lambda found: F.concat(
+            found,
+            F.transform(
+                F.filter(found, lambda n: n == "west virginia"), lambda n: F.lit("virginia")
+            ),
+        ),
     )
-    return F.concat(names, contained)
 
 
 def spelled_states(text: Column) -> Column:
     """Every spelled-out state name in the text, lower-cased."""
     return _with_contained_names(
-        F.transform(F.regexp_extract_all(text, F.lit(_SPELLED), 1), F.lower)
+        F.regexp_extract_all(F.lower(text), F.lit(_SPELLED_LOWER), 1)
     )
 
 
@@ -92,31 +114,27 @@ def most_frequent_state(names: Column, at_least: int = 2) -> Column:
             s["abbreviation"].alias("abbreviation"),
         ),
     )
-    best = F.array_max(counted)
-    return F.when(
-        F.size(names) >= at_least,
-        F.when(best["mentions"] >= at_least, best["abbreviation"]),
+    best = bind(
+        F.array_max(counted),
+        lambda b: F.when(b["mentions"] >= at_least, b["abbreviation"]),
     )
+    return F.when(F.size(names) >= at_least, best)
 
 
-def document_state(text: Column, block: Column, race: Column, spelled: Column) -> Column:
-    """``struct(state, confidence)``."""
-    marked = F.lit(None).cast("string")
+def marked_state(text: Column) -> Column:
+    """State implied by a marker, the first marker of the list that occurs."""
+    state = F.lit(None).cast("string")
     for pattern, abbreviation in reversed(fv.STATE_MARKERS):
-        marked = F.when(text.rlike("(?U)" + pattern), abbreviation).otherwise(marked)
-    zipped = first_match(block, r"(?U),\s*([A-Z]{2})\s+\d{5}")
-    in_block = state_of_name(first_match(block, _SPELLED))
-    in_race = F.when(F.size(race) > 0, first_listed_state(race))
-    frequent = most_frequent_state(spelled)
-
-    def tier(state, confidence):
-        return F.when(
-            state.isNotNull(),
-            F.struct(state.alias("state"), F.lit(confidence).alias("confidence")),
-        )
-
-    return F.coalesce(
-        tier(F.coalesce(marked, zipped), "HIGH"),
-        tier(F.coalesce(in_block, in_race), "MEDIUM"),
-        tier(frequent, "LOW"),
-    )
+        state = F.when(text.rlike("(?U)" + pattern), abbreviation).otherwise(state)
+    # one scan tells whether any marker occurs
+    return F.when(text.rlike("(?U)" + _ANY_MARKER), state)
+
+
+def zip_state(block: Column) -> Column:
+    """State code in front of a ZIP code."""
+    return first_match(block, r"(?U),\s*([A-Z]{2})\s+\d{5}")
+
+
+def state_in_block(block: Column) -> Column:
+    """First state name spelled out in the address block."""
+    return state_of_name(first_match(block, _SPELLED))

@@ -12,8 +12,13 @@ from pyspark.sql import types as T
 from foliary import fixed_values as fv
 
 
+def bind(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return bind(c, lambda x: F.when(x != "", x))
 
 
 def strip(c: Column) -> Column:

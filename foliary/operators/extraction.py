@@ -68,44 +68,80 @@ def extract_clients(docs: DataFrame) -> DataFrame:
     settled = F.col("_person").isNotNull() | (
         ~F.col("is_frank") & raw.isNotNull() & (payer.word_count(raw) <= 4)
     )
-    with_body = with_payer.withColumn(
-        "_phrases", F.when(~F.coalesce(settled, F.lit(False)), payer.capitals_phrases(text))
-    ).withColumn(
-        "_body",
-        F.when(F.col("_phrases").isNotNull(), payer.name_in_body(text, F.col("_phrases"))),
-    )
-    decided = with_body.withColumn(
+    open_case = with_payer.withColumn("_open", ~F.coalesce(settled, F.lit(False)))
+    decided = find_names(open_case, F.col("_open")).withColumn(
         "_client",
-        payer.client_decision(text, raw, F.col("is_frank"), F.col("_person"), F.col("_body")),
+        payer.client_decision(text, raw, F.col("is_frank"), F.col("_person"), F.col("body_name")),
     )
     return decided.withColumns(
         {
             "predicted_candidate": F.col("_client.client"),
             "candidate_confidence": F.col("_client.confidence"),
         }
-    ).drop("_person", "_phrases", "_body", "_client")
+    ).drop("_person", "_open", "body_name", "_client")
+
+
+def find_names(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Adds ``body_name`` (``struct<name, confidence>``) from the document body,
+    best signal first: "Vote X", a repeated phrase in capitals, "X for Office",
+    a web address.  A step runs only for rows no earlier step has settled."""
+    text = F.col("extracted_text")
+    wanted = F.lit(True) if wanted is None else wanted
+    steps = {
+        "_voted": F.when(wanted, payer.named(payer.voted_name(text), "HIGH")),
+        "_phrases": F.when(wanted & F.col("_voted").isNull(), payer.capitals_phrases(text)),
+        "_frequent": F.when(
+            F.size("_phrases") > 0, payer.frequent_phrase(text, F.col("_phrases"))
+        ),
+    }
+    for name, step in steps.items():
+        docs = docs.withColumn(name, step)
+    rest = wanted & F.col("_voted").isNull() & F.col("_frequent").isNull()
+    last = F.coalesce(
+        payer.named(payer.name_for_office(text), "MEDIUM"),
+        payer.named(payer.name_in_domain(text), "LOW"),
+    )
+    return docs.withColumn(
+        "body_name", F.coalesce("_voted", "_frequent", F.when(rest, last))
+    ).drop("_voted", "_phrases", "_frequent")
 
 
 def extract_states(docs: DataFrame) -> DataFrame:
-    """Adds ``predicted_state`` and ``state_confidence``."""
+    """Adds ``predicted_state`` and ``state_confidence``, in tiers: marker or
+    ZIP code, name in the address block or race context, most frequent name.
+    A tier runs only for rows the tiers before it leave open."""
     text = F.col("extracted_text")
-    parts = docs.withColumns(
+    high = F.coalesce("_marked", "_zip")
+    named = F.size("_names") > 0
+    steps = {
+        "_marked": states.marked_state(text),
+        "_block": F.when(F.col("_marked").isNull(), states.payer_block(text)),
+        "_zip": states.zip_state(F.col("_block")),
+        "_names": F.when(high.isNull(), states.spelled_states(text)),
+        "_placed": F.when(named, states.state_in_block(F.col("_block"))),
+        "_race": F.when(
+            named & F.col("_placed").isNull(),
+            states.first_listed_state(states.race_states(text)),
+        ),
+        "_often": F.when(
+            named & F.coalesce("_placed", "_race").isNull(),
+            states.most_frequent_state(F.col("_names")),
+        ),
+    }
+    for name, step in steps.items():
+        docs = docs.withColumn(name, step)
+    medium = F.coalesce("_placed", "_race")
+    confidence = (
+        F.when(high.isNotNull(), "HIGH")
+        .when(medium.isNotNull(), "MEDIUM")
+        .when(F.col("_often").isNotNull(), "LOW")
+    )
+    return docs.withColumns(
         {
-            "_block": states.payer_block(text),
-            "_race": states.race_states(text),
-            "_spelled": states.spelled_states(text),
+            "predicted_state": F.coalesce(high, medium, F.col("_often")),
+            "state_confidence": confidence,
         }
-    )
-    return (
-        parts.withColumn(
-            "_state",
-            states.document_state(text, F.col("_block"), F.col("_race"), F.col("_spelled")),
-        )
-        .withColumns(
-            {"predicted_state": F.col("_state.state"), "state_confidence": F.col("_state.confidence")}
-        )
-        .drop("_block", "_race", "_spelled", "_state")
-    )
+    ).drop(*steps)
 
 
 def review_score() -> Column:

@@ -650,7 +650,7 @@ _J = "json_extract_string(ai_analysis,'$."
     CASE WHEN upper(client_confidence) IN ('HIGH','MEDIUM') AND client_canonical <> '' THEN client_canonical ELSE {_J}entities.client_name') END AS cl,
     CASE WHEN upper(state_confidence) IN ('HIGH','MEDIUM') AND state <> '' THEN state END AS st,
     CASE WHEN {_J}communication_focus.primary_issue') IS NOT NULL THEN 'Schools, Taxes' END AS iss FROM catalog)
-    SELECT id, coalesce(nullif(concat_ws(chr(10), CASE WHEN s <> '' THEN concat('SUMMARY: ', s) END, concat('ISSUES: '||iss), CASE WHEN {_J}classification.category') <> '' THEN concat('CATEGORY: ', {_J}classification.category')) END,
+    SELECT id, coalesce(nullif(concat_ws(chr(10), CASE WHEN s <> '' THEN concat('SUMMARY: ', s) END, 'ISSUES: '||iss, CASE WHEN {_J}classification.category') <> '' THEN concat('CATEGORY: ', {_J}classification.category')) END,
     CASE WHEN {_J}document_analysis.document_type') <> '' THEN concat('DOCUMENT_TYPE: ', {_J}document_analysis.document_type')) END, CASE WHEN cl <> '' THEN concat('CLIENT: ', cl) END,
     CASE WHEN st <> '' THEN concat('STATE: ', st) END), ''), filename) AS embedding_text,
     CASE WHEN cl <> '' THEN CASE WHEN upper(client_confidence) IN ('HIGH','MEDIUM') AND client_canonical <> '' THEN 'canonical_pipeline' ELSE 'llm_extraction' END END AS client_source

@@ -198,7 +198,7 @@ VIEWS = {
         "WHEN 2 THEN concat('Source: 1) ',stamp,' 10:15',chr(10),'Vote ',person,' for Mayor',chr(10),'Paid for by the Citizens Action Fund of Greater Springfield.') "
         "WHEN 3 THEN concat('No date here',chr(10),'A fresh start for ',sname,chr(10),'Re-Elect ',person,' for Sheriff') "
         "WHEN 4 THEN concat('JANE PALMER leads. JANE PALMER cares about ',sname,' and again ',sname,'. ',stamp,' 1:00 AM ',stamp,' 2:00 AM') "
-        "WHEN 5 THEN concat('See www.JenForCity.com today',chr(10),'FORT WORTH rally') "
+        "WHEN 5 THEN concat('See www.JenForCity.com today',chr(10),'GCISD rally') "
         "WHEN 6 THEN concat('Paid for by Committee to Re-Elect ',person,' | 12 Oak St',chr(10),'Dayton, ',scode,' 45402 ',stamp,' 3:04:05 pm') "
         "ELSE concat(chr(10),'Paid for by ',person,' and',chr(10),chr(10),'Come along') END AS extracted_text, "
         "CASE WHEN v IN (0,4,6) THEN dt END AS true_date, "
@@ -243,6 +243,9 @@ SOURCES = [
 ]
 
 
+TEXT_TABLES = ["documents", "orders", "conversations", "pages"]
+
+
 class Tables:
     """The given tables and the views derived from them, for one session."""
 
@@ -251,7 +254,13 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # per-row text work is heavy: a small table that arrives in fewer splits
+        # than there are cores is spread over them, a large one left as it is
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+        return df
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         for name in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)):
@@ -350,6 +359,8 @@ def check_sql(text: str) -> str:
     ctes = [f"{n} AS ({definitions[n].format(**names)})" for n in wanted]
     if not ctes:
         return text
-    if text.lstrip().upper().startswith("WITH "):
-        return "WITH " + ", ".join(ctes) + ", " + text.lstrip()[5:]
+    body = text.lstrip()
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            return lead + ", ".join(ctes) + ", " + body[len(lead) :]
     return "WITH " + ", ".join(ctes) + " " + text

@@ -79,14 +79,12 @@ def committee_to_person(t: Tables):
     UNION ALL SELECT -1 - id, true_client, true_client_confidence FROM mixed_mailers WHERE v IN (2,3,4,5)""",
 )
 def name_in_body(t: Tables):
-    text = F.col("extracted_text")
     plain = t.mailers.select("id", "extracted_text")
     mixed = t.mixed_mailers.filter(F.col("v").isin(2, 3, 4, 5)).select(
         (-1 - F.col("id")).alias("id"), "extracted_text"
     )
-    phrased = plain.unionByName(mixed).withColumn("p", payer.capitals_phrases(text))
-    found = phrased.select("id", payer.name_in_body(text, F.col("p")).alias("n"))
-    return found.select("id", "n.name", "n.confidence")
+    found = x.find_names(plain.unionByName(mixed))
+    return found.select("id", "body_name.name", "body_name.confidence")
 
 
 @query(

@@ -53,8 +53,14 @@ def compare(spark, con, name: str, folder: str) -> str | None:
         return f"columns {got_names} != {want_names}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}; e.g. {got[:1]} / {want[:1]}"
-    diff = [(g, w) for g, w in zip(got, want) if g != w]
-    if diff:
+    if got != want:
+        # line rows up by key for a readable message
+        only_got = sorted(set(got) - set(want), key=lambda r: r[::-1])
+        only_want = sorted(set(want) - set(got), key=lambda r: r[::-1])
+        key = [i for i, n in enumerate(got_names) if n in ("id", "document_id", "name")]
+        by_key = {tuple(r[i] for i in key): r for r in only_want}
+        diff = [(r, by_key.get(tuple(r[i] for i in key), r)) for r in only_got]
+        diff = [d for d in diff if d[0] != d[1]] or [(got[0], want[0])]
         g, w = diff[0]
         cells = [(n, a, b) for n, a, b in zip(got_names, g, w) if a != b]
         return f"{len(diff)} of {len(got)} rows differ, e.g. {str(cells)[:500]}"
