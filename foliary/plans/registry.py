@@ -55,4 +55,6 @@ def load_all() -> None:
         entity_queries,
         report_queries,
         search_queries,
+        stream_queries,
+        upkeep_queries,
     )
