@@ -78,8 +78,8 @@ def daily_counts(t: Tables):
 
 @query(
     "T04_zero_result_alerts",
-    """SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, count(*) AS zero_results FROM events WHERE event_type='error'
-    AND date_trunc('hour', ts) + INTERVAL '1' HOUR <= (SELECT max(ts) - INTERVAL '10' MINUTE FROM events WHERE event_type='error') GROUP BY 1 HAVING count(*) >= 2""",
+    """SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, count(*) AS zero_results FROM events WHERE (event_type='error' OR floor(value)=0)
+    AND date_trunc('hour', ts) + INTERVAL '1' HOUR <= (SELECT max(ts) - INTERVAL '10' MINUTE FROM events WHERE event_type='error' OR floor(value)=0) GROUP BY 1 HAVING count(*) >= 2""",
 )
 def zero_result_alerts(t: Tables):
     searches = _stream(t, "events").select(

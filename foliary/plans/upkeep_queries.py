@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foliary.functions import analysis as an
@@ -467,6 +468,72 @@ def plain_text(t: Tables):
     return fl.extract_texts(_files(t)).select("id", "file_type", "extracted_text")
 
 
+def _word_file(texts: list[str]) -> bytes:
+    """A minimal Word file: the texts as paragraphs, then a table of their
+    lengths."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def paragraph(x):
+        return f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>"
+
+    rows = "".join(
+        f"<w:tr><w:tc>{paragraph('Chars')}</w:tc><w:tc>{paragraph('')}</w:tc><w:tc>{paragraph(str(len(x)))}</w:tc></w:tr>"
+        for x in texts
+    )
+    body = "".join(paragraph(x) for x in [*texts, "  "])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(
+            "word/document.xml",
+            f'<w:document xmlns:w="{w}"><w:body>{body}<w:tbl>{rows}</w:tbl></w:body></w:document>',
+        )
+    return out.getvalue()
+
+
+@query(
+    "S12_word_text",
+    """SELECT conv_id AS id, CASE WHEN conv_id%10=9 THEN '' ELSE concat(string_agg(text, chr(10) ORDER BY turn), chr(10), string_agg(concat('Chars | ', length(text)), chr(10) ORDER BY turn)) END AS extracted_text
+    FROM (SELECT conv_id, turn, regexp_replace(text, '[\x00-\x09\x0b-\x1f]', '', 'g') AS text FROM conversations) GROUP BY conv_id""",
+)
+def word_text(t: Tables):
+    """Word files made from the conversations, every tenth one damaged."""
+
+    @F.pandas_udf("binary")
+    def make(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: _word_file(list(x)))
+
+    clean = F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f]", "")
+    talks = (
+        t.conversations.groupBy("conv_id")
+        .agg(F.array_sort(F.collect_list(F.struct("turn", clean.alias("x")))).alias("turns"))
+        .select(F.col("conv_id").alias("id"), F.col("turns.x").alias("texts"))
+    )
+    whole = talks.select("id", make("texts").alias("content"))
+    damaged = F.when(F.col("id") % 10 == 9, F.substring("content", 1, 40)).otherwise(F.col("content"))
+    files = whole.select(
+        "id", F.concat(F.col("id").cast("string"), F.lit(".docx")).alias("path"), damaged.alias("content")
+    )
+    return fl.extract_texts(files).select("id", "extracted_text")
+
+
+@query(
+    "S07_new_pdf_files",
+    """SELECT concat('in/p', page_id, '.pdf') AS file_id, concat('p', page_id, '.pdf') AS filename, 'QUEUED' AS status FROM pages WHERE page_id%5=1
+    AND concat('in/p', page_id, '.pdf') NOT IN (SELECT concat('in/p', doc_id, '.pdf') FROM labels)""",
+)
+def new_pdf_files(t: Tables):
+    files = _files(t).withColumn("modificationTime", F.lit(AS_OF).cast("timestamp"))
+    known = t.labels.select(
+        F.concat(F.lit("in/p"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_id"),
+        F.lit(None).cast("string").alias("content_hash"),
+    )
+    return u.new_files(fl.ingest_rows(files), known).select("file_id", "filename", "status")
+
+
 @query("S13_unreadable", "SELECT page_id AS id FROM pages WHERE page_id%5 IN (2,3)")
 def unreadable(t: Tables):
     return fl.unreadable(fl.extract_texts(_files(t))).select("id")
