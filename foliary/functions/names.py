@@ -18,6 +18,7 @@ from foliary.functions.text import (
     repair_compound_names,
     squeeze,
     strip,
+    text_list,
     title_case,
     word_count,
     words,
@@ -82,8 +83,8 @@ def party_rule(name: Column) -> Column:
     ]
     state = F.coalesce(*[first_match(name, "(?iU)" + f) for f in forms])
     code = F.upper(first_match(name, r"(?iU)^Republican\s+Party\s+Of\s+([A-Z]{2})$"))
-    by_code = F.create_map(
-        *[F.lit(x) for n, a in fv.STATE_ABBREVIATIONS.items() for x in (a, n)]
+    by_code = F.str_to_map(
+        F.lit(",".join(f"{a}:{n}" for n, a in fv.STATE_ABBREVIATIONS.items()))
     )
     return F.coalesce(_party_of(state), _party_of(F.try_element_at(by_code, code)))
 
@@ -227,7 +228,7 @@ def _first_usable(summary: Column, patterns, tier: str, rejected: list[str]) ->
     def usable(name):
         ok = word_count(name) >= 2
         if rejected:
-            bad = F.array(*[F.lit(w) for w in rejected])
+            bad = text_list(rejected)
             ok = ok & ~F.arrays_overlap(words(F.lower(name)), bad)
         return ok
 

@@ -12,6 +12,7 @@ from foliary.functions.text import (
     first_match,
     squeeze,
     strip,
+    text_list,
     title_case,
     word_count,
     words,
@@ -100,7 +101,7 @@ def capitals_phrases(text: Column) -> Column:
     found = F.transform(
         F.regexp_extract_all(text, F.lit("(?U)" + fv.CAPITALS_PHRASE), 1), squeeze
     )
-    generic = F.array(*[F.lit(w) for w in dict.fromkeys(fv.GENERIC_CAPITALS)])
+    generic = text_list(fv.GENERIC_CAPITALS)
     return F.filter(
         found,
         lambda p: ~F.arrays_overlap(F.split(p, " "), generic)
@@ -111,7 +112,7 @@ def capitals_phrases(text: Column) -> Column:
 def frequent_phrase(text: Column, phrases: Column) -> Column:
     """``struct(name, confidence)`` of the phrase that occurs most often, with a
     bonus for an early start; null when that phrase holds a slogan word."""
-    slogans = F.array(*[F.lit(w) for w in fv.SLOGAN_WORDS])
+    slogans = text_list(fv.SLOGAN_WORDS)
 
     def rank(phrase, i):
         count = F.size(F.filter(phrases, lambda q: q == phrase))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliary import fixed_values as fv
-from foliary.functions.text import bind, first_match
+from foliary.functions.text import bind, first_match, text_list
 
 _NAMES = "|".join(sorted(fv.STATE_ABBREVIATIONS, key=len, reverse=True))
 _SPELLED = rf"(?iU)\b({_NAMES})\b"
@@ -30,23 +30,21 @@ _ANY_MARKER = "|".join(f"(?:{p})" for p, _ in fv.STATE_MARKERS)
 
 
 def _abbreviation_map() -> Column:
-    pairs = []
-    for name, abbreviation in fv.STATE_ABBREVIATIONS.items():
-        pairs += [F.lit(name.lower()), F.lit(abbreviation)]
-    return F.create_map(*pairs)
+    pairs = ",".join(f"{n.lower()}:{a}" for n, a in fv.STATE_ABBREVIATIONS.items())
+    return F.str_to_map(F.lit(pairs))
 
 
 def _state_rows() -> Column:
     """Literal ``array<struct<name, abbreviation, place>>`` in list order."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(name.lower()).alias("name"),
-                F.lit(abbreviation).alias("abbreviation"),
-                F.lit(-i).alias("place"),
-            )
-            for i, (name, abbreviation) in enumerate(fv.STATE_ABBREVIATIONS.items())
-        ]
+    return F.zip_with(
+        text_list(n.lower() for n in fv.STATE_ABBREVIATIONS),
+        F.transform(
+            text_list(fv.STATE_ABBREVIATIONS.values()),
+            lambda a, i: F.struct(a.alias("abbreviation"), (-i).alias("place")),
+        ),
+        lambda n, a: F.struct(
+            n.alias("name"), a["abbreviation"].alias("abbreviation"), a["place"].alias("place")
+        ),
     )
 
 

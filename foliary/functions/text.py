@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 from foliary import fixed_values as fv
 
 
+def text_list(values) -> Column:
+    """Literal array of strings (none of them with a bar)."""
+    return F.split(F.lit("|".join(values)), r"\|")
+
+
 def bind(c: Column, use) -> Column:
     """``use(c)`` with ``c`` evaluated once however often ``use`` mentions it."""
     return F.get(F.transform(F.array(c), use), F.lit(0))

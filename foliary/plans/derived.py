@@ -243,6 +243,7 @@ SOURCES = [
 ]
 
 
+_OPENED: dict[tuple, DataFrame] = {}
 TEXT_TABLES = ["documents", "orders", "conversations", "pages"]
 
 
@@ -254,6 +255,13 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def source(self, name: str) -> DataFrame:
+        """A given table; its schema is looked up once per session."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _OPENED:
+            _OPENED[key] = self._open(name)
+        return _OPENED[key]
+
+    def _open(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         # per-row text work is heavy: a small table that arrives in fewer splits
         # than there are cores is spread over them, a large one left as it is

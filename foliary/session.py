@@ -34,6 +34,9 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # no Python call sites on every expression: they double the time it
+        # takes to build the long rule expressions
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
