@@ -54,18 +54,33 @@ def override_table(rows: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def resolve_clients(
-    rows: DataFrame, overrides: DataFrame, column: str = "client_clean_v1"
+    rows: DataFrame,
+    overrides: DataFrame,
+    column: str = "client_clean_v1",
+    per_row: bool = False,
 ) -> DataFrame:
     """Adds ``client_canonical`` and ``resolution_source``: override by
-    lower-cased name, then rules, then the name itself.  The rules run once per
-    distinct name."""
+    lower-cased name, then rules, then the name itself.
 
-    def resolve(table: DataFrame, key: str) -> DataFrame:
-        keyed = table.withColumn("key", F.lower(key)).join(overrides, "key", "left")
-        return keyed.withColumn("_r", names.resolved(F.col(key), F.col("override"))).select(
-            key, F.col("_r.client_canonical"), F.col("_r.resolution_source")
+    The rules run once per distinct name; with ``per_row`` on every row, which
+    is better where the rows themselves are costly to compute.
+    """
+
+    def resolve(table: DataFrame, name: str) -> DataFrame:
+        spread = [c for c in ("id", "document_id") if c in table.columns] or None
+        keyed = lookup_join(
+            table.withColumn("key", F.lower(name)), overrides, "key", "left", spread
         )
+        resolved = keyed.withColumn("_r", names.resolved(F.col(name), F.col("override")))
+        return resolved.withColumns(
+            {
+                "client_canonical": F.col("_r.client_canonical"),
+                "resolution_source": F.col("_r.resolution_source"),
+            }
+        ).drop("key", "override", "_r")
 
+    if per_row:
+        return resolve(rows, column)
     return by_distinct_value(rows, column, resolve, "client_canonical", "resolution_source")
 
 

@@ -69,7 +69,8 @@ def validate_mappings(mappings: DataFrame, taxonomy: DataFrame) -> DataFrame:
 def rejected_mappings(mappings: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Mappings without canonical term or with an unknown one."""
     known = taxonomy.select(F.col("term").alias("mapped_canonical_term")).distinct()
-    return mappings.join(known, "mapped_canonical_term", "left_anti").select(
+    rows = mappings.select("document_id", "pos", "verbatim_term", "mapped_canonical_term")
+    return lookup_join(rows, known, "mapped_canonical_term", "left_anti").select(
         "document_id", "pos", "verbatim_term", "mapped_canonical_term"
     )
 

@@ -15,7 +15,7 @@ from foliary.functions import analysis as an
 from foliary.functions import dates
 from foliary.functions.text import blank_to_null, safe_file_name, strip
 from foliary.operators import filters
-from foliary.operators.common import moment
+from foliary.operators.common import lookup_join, moment
 
 
 def latest(changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -291,8 +291,8 @@ def document_features(docs: DataFrame, overrides: DataFrame) -> DataFrame:
 
     fields = extraction.extract_fields(docs)
     cleaned = fields.withColumn("client_clean_v1", names.clean_client(F.col("paid_for_by_raw")))
-    # the rules run once per distinct clean name
-    canonical = entities.resolve_clients(cleaned, overrides).withColumnsRenamed(
+    # distinct names first would extract all fields a second time
+    canonical = entities.resolve_clients(cleaned, overrides, per_row=True).withColumnsRenamed(
         {"client_canonical": "resolved", "resolution_source": "rules_source"}
     )
     analysis = an.parse_analysis(F.col("ai_analysis"))
@@ -497,10 +497,13 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     by_id = files.join(
         known.select("file_id").filter("file_id IS NOT NULL"), "file_id", "left_anti"
     )
-    return by_id.join(
-        known.select("content_hash").filter("content_hash IS NOT NULL"),
+    # one content may make up a large share of the files
+    return lookup_join(
+        by_id,
+        known.select("content_hash").filter("content_hash IS NOT NULL").distinct(),
         "content_hash",
         "left_anti",
+        ["file_id"],
     )
 
 

@@ -243,6 +243,17 @@ SOURCES = [
 ]
 
 
+# the same view without a product, for Spark
+_SPARK_VIEWS = {
+    "doc_mappings": (
+        "SELECT d.doc_id AS document_id, d.k AS pos, p.p_name AS verbatim_term, "
+        "p.p_type AS mapped_primary_category, p.p_brand AS mapped_subcategory, "
+        f"{_TERM} AS mapped_canonical_term "
+        "FROM (SELECT doc_id, explode(array(0, 1, 2)) AS k FROM {documents}) d "
+        "JOIN (SELECT p_partkey, p_name, p_type, p_brand FROM {part} WHERE p_partkey < 200) p "
+        "ON p.p_partkey=(d.doc_id*7+d.k*13)%200"
+    ),
+}
 _OPENED: dict[tuple, DataFrame] = {}
 TEXT_TABLES = ["documents", "orders", "conversations", "pages"]
 
@@ -277,7 +288,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.sql(VIEWS[name])
+            return self.sql(_SPARK_VIEWS.get(name, VIEWS[name]))
         if name in SOURCES:
             return self.source(name)
         raise AttributeError(name)
