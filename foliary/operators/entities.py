@@ -242,7 +242,7 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
 # --- near duplicates -------------------------------------------------------
 
 # up to this many words all word subsets of a name are enumerated
-_ENUMERATED_WORDS = 10
+_ENUMERATED_WORDS = 12
 # common rare words that bring two longer names together
 _PREFIX_WORDS = 3
 
@@ -283,12 +283,28 @@ def _partner_sizes(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _all_subsets(tokens: Column) -> Column:
-    none = F.array(F.array().cast("ARRAY<STRING>"))
-    return F.aggregate(
-        tokens,
-        none,
-        lambda acc, w: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(w)))),
+def _subsets(tokens: Column, size: Column) -> Column:
+    """All subsets of ``size`` tokens, as strings.  Sets that have already left
+    out too many tokens are not continued."""
+    spare = F.size(tokens) - size
+    start = F.array(F.struct(F.lit("").alias("words"), F.lit(0).alias("omitted")))
+
+    def grow(sets, w):
+        taken = F.transform(
+            sets,
+            lambda s: F.struct(
+                F.concat(s["words"], F.lit(" "), w).alias("words"), s["omitted"].alias("omitted")
+            ),
+        )
+        skipped = F.transform(
+            F.filter(sets, lambda s: s["omitted"] < spare),
+            lambda s: F.struct(s["words"].alias("words"), (s["omitted"] + 1).alias("omitted")),
+        )
+        return F.concat(taken, skipped)
+
+    grown = F.aggregate(tokens, start, grow)
+    return F.transform(
+        F.filter(grown, lambda s: s["omitted"] == spare), lambda s: s["words"]
     )
 
 
@@ -296,14 +312,12 @@ def _enumerated_keys(sized: DataFrame) -> DataFrame:
     """For shorter names: two sets of sizes ``n`` and ``m`` are similar exactly
     when they have a subset of ``o`` words in common, so membership in a key
     already is similarity and no pair of names is ever formed."""
-    subsets = F.filter(_all_subsets(F.col("tokens")), lambda s: F.size(s) == F.col("o"))
     rows = sized.filter((F.col("n") <= _ENUMERATED_WORDS) & (F.col("m") <= _ENUMERATED_WORDS))
-    rows = rows.withColumn("subset", F.explode(subsets))
-    text = F.array_join("subset", " ")
+    rows = rows.withColumn("subset", F.explode(_subsets(F.col("tokens"), F.col("o"))))
     return rows.select(
         "node",
-        F.concat_ws("/", "n", "m", text).alias("shows"),
-        F.concat_ws("/", "m", "n", text).alias("sees"),
+        F.concat_ws("/", "n", "m", "subset").alias("shows"),
+        F.concat_ws("/", "m", "n", "subset").alias("sees"),
     )
 
 

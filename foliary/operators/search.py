@@ -7,6 +7,7 @@ which is written sorted by lexeme so that the lexeme filter prunes files.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -70,37 +71,64 @@ def matching_documents(hits: DataFrame, lexemes: Sequence[str]) -> DataFrame:
     )
 
 
-def cover_rank(hits: DataFrame, lexemes: Sequence[str], weight: float = fv.COVER_WEIGHT) -> DataFrame:
-    """``(id, text_relevance)`` by cover density for documents with all lexemes.
+def word_slots(hits: DataFrame, queries: dict[str, list[str]]) -> DataFrame:
+    """Hits beside the queries that hold their lexeme: ``(query_id, id, pos,
+    slot, words)``, ``slot`` being the place of the lexeme in its query.  The
+    queries come from the caller and travel as one literal map."""
+    by_lexeme: dict[str, list[dict]] = {}
+    for name, lexemes in queries.items():
+        for slot, lexeme in enumerate(lexemes):
+            entry = {"query_id": name, "slot": slot, "words": len(lexemes)}
+            by_lexeme.setdefault(lexeme, []).append(entry)
+    table = F.from_json(
+        F.lit(json.dumps(by_lexeme)),
+        "map<string, array<struct<query_id: string, slot: int, words: int>>>",
+    )
+    return hits.select("id", "pos", F.inline(F.try_element_at(table, F.col("lexeme"))))
+
+
+def cover_ranks(slots: DataFrame, widest: int, weight: float = fv.COVER_WEIGHT) -> DataFrame:
+    """``(query_id, id, text_relevance)`` by cover density for the documents
+    with all lexemes of a query of at most ``widest`` words.
 
     A cover is a shortest run of positions that holds every lexeme.  It adds
     ``weight / (1 + foreign words inside)``; the sum ``x`` becomes
     ``x / (x + 1)``.  For each hit the nearest following hit of every lexeme is
     carried by a window; the farthest of them ends the cover.
     """
-    hits = hits.select("id", "lexeme", "pos")
-    if len(lexemes) == 1:
-        total = F.count("*") * F.lit(weight)
-        return hits.groupBy("id").agg((total / (total + 1)).alias("text_relevance"))
-    forward = Window.partitionBy("id").orderBy("pos")
+    keys = ["query_id", "id"]
+
+    def squashed(total):
+        return (total / (total + 1)).alias("text_relevance")
+
+    if widest == 1:
+        return slots.groupBy(*keys).agg(squashed(F.count("*") * F.lit(weight)))
+    forward = Window.partitionBy(*keys).orderBy("pos")
     onward = forward.rowsBetween(0, Window.unboundedFollowing)
     here = F.struct("pos", "ord")
-    ends = hits.withColumn("ord", F.row_number().over(forward))
-    nexts = [
-        F.first(F.when(F.col("lexeme") == x, here), ignorenulls=True).over(onward) for x in lexemes
-    ]
-    ends = ends.withColumns({f"_n{i}": n for i, n in enumerate(nexts)})
-    complete = ends.filter(" AND ".join(f"_n{i} IS NOT NULL" for i in range(len(lexemes))))
+    following = [f"_n{i}" for i in range(widest)]
+    ends = slots.withColumn("ord", F.row_number().over(forward)).withColumns(
+        {
+            name: F.first(F.when(F.col("slot") == i, here), ignorenulls=True).over(onward)
+            for i, name in enumerate(following)
+        }
+    )
+    found = sum((F.col(n).isNotNull().cast("int") for n in following), F.lit(0))
     # of all starts with the same end only the last one is shortest
     covers = (
-        complete.withColumn("last", F.greatest(*[f"_n{i}" for i in range(len(lexemes))]))
-        .groupBy("id", "last")
+        ends.filter(found == F.col("words"))
+        .groupBy(*keys, F.greatest(*following).alias("last"))
         .agg(F.max(here).alias("first"))
     )
     span = F.col("last.pos") - F.col("first.pos")
     inside = F.col("last.ord") - F.col("first.ord")
-    total = F.sum(F.lit(weight) / (1 + span - inside))
-    return covers.groupBy("id").agg((total / (total + 1)).alias("text_relevance"))
+    return covers.groupBy(*keys).agg(squashed(F.sum(F.lit(weight) / (1 + span - inside))))
+
+
+def cover_rank(hits: DataFrame, lexemes: Sequence[str], weight: float = fv.COVER_WEIGHT) -> DataFrame:
+    """``(id, text_relevance)`` of one query; see :func:`cover_ranks`."""
+    slots = word_slots(hits, {"": list(lexemes)})
+    return cover_ranks(slots, len(lexemes), weight).drop("query_id")
 
 
 # --- vector ranking --------------------------------------------------------
@@ -357,15 +385,12 @@ def batch_search(
         for n, t in texts.items()
         if requests[n].query_vector is not None and len(t) >= fv.VECTOR_QUERY_MIN_CHARS
     }
+    if not lexemes:
+        raise ValueError("no query holds a searchable word")
     wanted = sorted({x for v in lexemes.values() for x in v})
     hits = hits_in_text(catalog, wanted, stem) if index is None else hits_in_postings(index, wanted)
-    parts = []
-    for name, words in lexemes.items():
-        ranked = cover_rank(hits.filter(F.col("lexeme").isin(words)), words)
-        parts.append(ranked.select(F.lit(name).alias("query_id"), "id", "text_relevance"))
-    text_scores = parts[0]
-    for more in parts[1:]:
-        text_scores = text_scores.unionByName(more)
+    slots = word_slots(hits, lexemes)
+    text_scores = cover_ranks(slots, max(len(v) for v in lexemes.values()))
     zero = F.lit(0.0)
     vector_part = F.lit(0.0)
     scores = text_scores

@@ -34,7 +34,7 @@ def ingest(t: Tables):
 
 _SILENT = """SELECT document_id, CAST(ts AS VARCHAR) AS last_seen, 'QUEUED' AS status FROM
     (SELECT *, lead(ts) OVER (PARTITION BY document_id ORDER BY ts) AS nxt FROM status_events)
-    WHERE kind IN ('start','heartbeat') AND (nxt IS NULL OR nxt - ts >= INTERVAL '360' SECOND)"""
+    WHERE kind IN ('start','heartbeat') AND (nxt IS NULL OR nxt - ts > INTERVAL '360' SECOND)"""
 
 
 @query(

@@ -11,6 +11,7 @@ from foliary.operators.upkeep import first_of_each_content, new_files
 from foliary.session import new_folder
 from foliary.sources.files import ingest_rows
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 INGEST_SCHEMA = (
     "content_hash string, file_id string, filename string, file_size long, status string, "
     "created_at timestamp"
@@ -32,6 +33,7 @@ def stream_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF
     the cursor; starting with a new checkpoint scans everything again."""
     return (
         spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(folder)
@@ -97,7 +99,7 @@ def silent_documents(
 ) -> DataFrame:
     """Documents that leave PROCESSING because nothing was heard of them.
 
-    ``events``: document_id, ts, kind.  Events of a document closer together
+    ``events``: document_id, ts, kind.  Events of a document no further apart
     than the threshold form one session; when a session is over and its last
     event leaves the document in work, the document goes back to the queue.
     Works on a stream (sessions are emitted once the watermark has passed their
