@@ -254,7 +254,6 @@ _SPARK_VIEWS = {
         "ON p.p_partkey=(d.doc_id*7+d.k*13)%200"
     ),
 }
-_OPENED: dict[tuple, DataFrame] = {}
 TEXT_TABLES = ["documents", "orders", "conversations", "pages"]
 
 
@@ -267,10 +266,11 @@ class Tables:
 
     def source(self, name: str) -> DataFrame:
         """A given table; its schema is looked up once per session."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _OPENED:
-            _OPENED[key] = self._open(name)
-        return _OPENED[key]
+        opened = self.spark.__dict__.setdefault("_foliary_opened", {})
+        key = (self.folder, name)
+        if key not in opened:
+            opened[key] = self._open(name)
+        return opened[key]
 
     def _open(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")

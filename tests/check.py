@@ -38,11 +38,14 @@ def canonical(names: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [names[i] for i in order], sorted(out)
 
 
-def compare(spark, con, name: str, folder: str) -> str | None:
-    """None when equal, else a description of the difference."""
+def compare(spark, con, name: str, folder: str, inspect=None) -> str | None:
+    """None when equal, else a description of the difference.  ``inspect`` sees
+    the frame before it runs."""
     import __spark_entry__ as e
 
     df = e.queries()[name](spark, folder)
+    if inspect:
+        inspect(df)
     got_names, got = canonical(df.columns, [tuple(r) for r in df.collect()])
     sql = e.oracle_sql().get(name)
     if sql is None:
