@@ -128,9 +128,7 @@ _REVIEW = (
 
 @query(
     "P06_editor_search",
-    f"SELECT {_REVIEW} FROM catalog WHERE filename ILIKE '%0000000_2%' ESCAPE '!' OR client_canonical ILIKE '%000000012%' {_NEWEST} LIMIT 25".replace(
-        "filename ILIKE '%0000000_2%' ESCAPE '!'", "filename ILIKE '%000000012%'"
-    ),
+    f"SELECT {_REVIEW} FROM catalog WHERE filename ILIKE '%000000012%' OR client_canonical ILIKE '%000000012%' {_NEWEST} LIMIT 25",
 )
 def editor_search(t: Tables):
     return f.editor_search(t.catalog(*f.REVIEW_COLUMNS), "000000012")

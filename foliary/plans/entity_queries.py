@@ -178,8 +178,8 @@ def review_report(t: Tables):
     return e.review_report(x.extract_fields(t.mailers.select("id", "extracted_text")))
 
 
-@query("F02_dates_in_documents")
-def dates_in_documents(t: Tables):
+@query("F12_fields_of_documents")
+def fields_of_documents(t: Tables):
     """All fields of the given document texts, counted per outcome."""
     docs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("extracted_text"))
     return x.extract_fields(docs).groupBy("state_confidence", "candidate_confidence", "needs_review").agg(
@@ -221,7 +221,7 @@ def party_rule(t: Tables):
 )
 def office_rule(t: Tables):
     n = F.col("true_clean")
-    return t.payers.filter(F.lit(True)).select(
+    return t.payers.select(
         "id",
         F.when(nm.party_rule(n).isNull() & nm.committee_rule(n).isNull(), nm.office_rule(n)).alias("person"),
         nm.committee_rule(n).alias("committee"),
