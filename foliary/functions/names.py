@@ -253,7 +253,8 @@ def name_from_analysis(
         )
 
     exact = bind(
-        name_from_mappings(mappings),
+        # a name that cleans to nothing is no name
+        F.nullif(name_from_mappings(mappings), F.lit("")),
         lambda n: F.when(n.isNotNull(), found(n, F.lit("HIGH"), F.lit("tier1_keyword"))),
     )
     tiers = [

@@ -11,7 +11,7 @@ from foliary.functions.text import bind, first_match, text_list
 _NAMES = "|".join(sorted(fv.STATE_ABBREVIATIONS, key=len, reverse=True))
 _SPELLED = rf"(?iU)\b({_NAMES})\b"
 _FOR_STATE = rf"(?iU)\bfor\s+({_NAMES})\b"
-_STATE_OFFICE = rf"(?iU)\b({_NAMES})\s+(?:{fv.RACE_OFFICES})"
+_STATE_OFFICE = rf"(?iU)\b({_NAMES})\s+(?:{fv.RACE_OFFICES})\b"
 
 
 def _grouped_by_initial() -> str:

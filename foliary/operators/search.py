@@ -103,13 +103,19 @@ def cover_ranks(slots: DataFrame, widest: int, weight: float = fv.COVER_WEIGHT)
 
     if widest == 1:
         return slots.groupBy(*keys).agg(squashed(F.count("*") * F.lit(weight)))
-    forward = Window.partitionBy(*keys).orderBy("pos")
-    onward = forward.rowsBetween(0, Window.unboundedFollowing)
+    forward = Window.partitionBy(*keys).orderBy("pos", "slot")
+    # from the last hit back to here: a running value, where a frame that ends
+    # with the partition would be read again for each row
+    onward = (
+        Window.partitionBy(*keys)
+        .orderBy(F.desc("pos"), F.desc("slot"))
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     here = F.struct("pos", "ord")
     following = [f"_n{i}" for i in range(widest)]
     ends = slots.withColumn("ord", F.row_number().over(forward)).withColumns(
         {
-            name: F.first(F.when(F.col("slot") == i, here), ignorenulls=True).over(onward)
+            name: F.last(F.when(F.col("slot") == i, here), ignorenulls=True).over(onward)
             for i, name in enumerate(following)
         }
     )

@@ -70,15 +70,18 @@ def progress_after(status: Column, progress: Column) -> Column:
 
 
 def apply_status(catalog: DataFrame, events: DataFrame) -> DataFrame:
-    """Status transitions.  ``events``: id, status, progress, error, ts."""
-    last = latest(events, "id", "ts")
-    new = last.select(
-        "id",
-        F.col("status").alias("_status"),
-        progress_after(F.col("status"), F.col("progress")).alias("_progress"),
-        blank_to_null(F.col("error")).alias("_error"),
-        F.when(F.col("status") == "PROCESSING", F.col("ts")).alias("_started"),
-        F.when(F.col("status") == "COMPLETED", F.col("ts")).alias("_processed"),
+    """Status transitions, all events of a document in turn: the last status, progress and
+    error that an event gives, and the last start and completion.
+    ``events``: id, status, progress, error, ts."""
+    ts, status = F.col("ts"), F.col("status")
+    progress = progress_after(status, F.col("progress"))
+    error = blank_to_null(F.col("error"))
+    new = events.groupBy("id").agg(
+        F.max_by("status", "ts").alias("_status"),
+        F.max_by(progress, F.when(progress.isNotNull(), ts)).alias("_progress"),
+        F.max_by(error, F.when(error.isNotNull(), ts)).alias("_error"),
+        F.max(F.when(status == "PROCESSING", ts)).alias("_started"),
+        F.max(F.when(status == "COMPLETED", ts)).alias("_processed"),
     )
     pairs = {
         "status": "_status",

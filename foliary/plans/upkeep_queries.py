@@ -72,11 +72,15 @@ def _status_events(t: Tables):
 
 @query(
     "M01_status_transitions",
-    f"""WITH l AS (SELECT document_id, ts, kind, id AS eid, value, {_STATUS_OF} AS st FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC) AS rn FROM status_events) WHERE rn=1)
-    SELECT c.id, coalesce(l.st, c.status) AS status, CAST(CASE WHEN l.st='COMPLETED' THEN 100 WHEN l.value IS NOT NULL THEN least(greatest(floor(l.value),0),100) ELSE c.processing_progress END AS BIGINT) AS processing_progress,
-    CASE WHEN l.kind='fail' THEN concat('e', l.eid) ELSE c.processing_error END AS processing_error,
-    CAST(CASE WHEN l.st='PROCESSING' THEN l.ts ELSE c.processing_started_at END AS VARCHAR) AS processing_started_at,
-    CAST(CASE WHEN l.st='COMPLETED' THEN l.ts ELSE c.processed_at END AS VARCHAR) AS processed_at
+    f"""WITH e AS (SELECT document_id, ts, kind, id AS eid, value, {_STATUS_OF} AS st FROM status_events),
+    l AS (SELECT document_id, arg_max(st, ts) AS st,
+      arg_max(CASE WHEN st='COMPLETED' THEN 100 ELSE least(greatest(floor(value),0),100) END, ts) FILTER (WHERE st='COMPLETED' OR value IS NOT NULL) AS progress,
+      arg_max(concat('e', eid), ts) FILTER (WHERE kind='fail') AS error, max(ts) FILTER (WHERE st='PROCESSING') AS started, max(ts) FILTER (WHERE st='COMPLETED') AS processed
+      FROM e GROUP BY document_id)
+    SELECT c.id, coalesce(l.st, c.status) AS status, CAST(coalesce(l.progress, c.processing_progress) AS BIGINT) AS processing_progress,
+    coalesce(l.error, c.processing_error) AS processing_error,
+    CAST(coalesce(l.started, c.processing_started_at) AS VARCHAR) AS processing_started_at,
+    CAST(coalesce(l.processed, c.processed_at) AS VARCHAR) AS processed_at
     FROM catalog c LEFT JOIN l ON l.document_id=c.id""",
 )
 def status_transitions(t: Tables):
