@@ -13,10 +13,11 @@ rank.  Rank bands are opened one after the other until every coordinate has its
 is one look at each shingle and band plus the darts, not shingles times coordinates.
 
 Documents that agree on all rows of a band share a bucket.  Equal word sequences are one
-node from the start.  No pairs are formed inside a bucket: every node is compared exactly
-with the bucket's first open node, which leaves, and a node linked to it is open no more.  All go on in
-finer buckets (one further coordinate) until no bucket has an open node beside another.  Parts are
-then connected by alternating large and small stars.
+node from the start.  No pairs are formed inside a bucket: every open node is compared exactly
+with the bucket's head, its first open node, unless the two are known to be connected; in later rounds with up to
+``HEADS`` open ones and as many of the others.  Open heads leave, and nodes linked to a head are open no more.  All go on in finer buckets (by further coordinates); a bucket is done when
+its nodes are all connected or none is open.  Connected parts are found by alternating large and
+small stars.
 
 Defined cases: a null or empty text, or one without words, is in no class but its own.  Rows that
 repeat an id are rows of their own.  ``class_id`` is the smallest id of the class; the row with it
@@ -25,6 +26,7 @@ stays (of repeated rows, one).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp
@@ -40,6 +42,8 @@ from foliary.llm.common import byte_texts, mixed64, slices, stored, words_of
 from foliary.session import cut_lineage
 
 BANDS, ROWS = 24, 5
+BAND_MASK = 31
+HEADS = 3
 FIRST_RANK = 1 / 64
 KNOWN_WORDS = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -140,7 +144,8 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     key = np.broadcast_to(mixed64(np.arange(1, bands + 1, dtype=np.uint64) * STEP), grid.shape[:2]).copy()
     for r in range(rows):
         key = mixed64(key * STEP + grid[:, :, r])
-    return key
+    # the band in the lowest bits
+    return key & np.uint64(~BAND_MASK & (1 << 64) - 1) | np.arange(bands, dtype=np.uint64)
 
 
 def signed(
@@ -248,58 +253,104 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def finer_key(turn: int) -> Column:
-    """The bucket with one further value, of the band ``turn`` after its own."""
-    values = F.size("finer")
-    return F.xxhash64("bucket", F.element_at("finer", ((F.col("band") + turn) % values + 1).cast("int")))
-
-
-def linked_nodes(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, size: int, counts: bool, threshold: float) -> DataFrame:
-    """All links found, ``node, first``."""
-    nodes = stored(
-        signs.where(F.size("keys") > 0)
-        .groupBy(F.col("content").alias("node"))
-        .agg(F.first("keys").alias("keys"), F.first("finer").alias("finer")),
-        "nodes",
+    """The bucket with further values, of the bands after its own (one in the first turn, then two each); the
+    band stays in the lowest bits."""
+    band = F.col("bucket").bitwiseAND(F.lit(BAND_MASK))
+    steps = [1] if turn == 1 else [2 * turn - 2, 2 * turn - 1]
+    values = [F.element_at("finer", ((band + step) % F.size("finer") + 1).cast("int")) for step in steps]
+    return F.xxhash64("bucket", *values).bitwiseAND(F.lit(~BAND_MASK)).bitwiseOR(band)
+
+
+def crowded_buckets(signs: DataFrame) -> DataFrame:
+    """``bucket, node`` of the buckets that hold several nodes.
+
+    Of all rows only bucket and a short hash of the node shuffle, to tell which buckets these
+    are; a filter of these buckets then picks the rows that go on.
+    """
+    rows = signs.select(F.xxhash64("content").alias("short"), F.explode("keys").alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a <> b")
+    several = cut_lineage(several.select(F.unhex(F.md5(F.col("bucket").cast("string").cast("binary"))).alias("key")))
+    size = bloom.filter_size(several.count())
+    keyed = signs.select("content", F.explode("keys").alias("bucket"))
+    bits = signs.sparkSession.sparkContext.broadcast(bloom.filled(several, size, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = batch.column(1).to_numpy()
+            digests = [hashlib.md5(str(b).encode()).digest() for b in buckets.tolist()]
+            where = bloom.positions(pa.array(digests, pa.binary()), size)
+            own = (bits.value[where >> np.uint64(3)] >> (np.uint64(7) - (where & np.uint64(7))).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(own.all(axis=1)))
+
+    return keyed.mapInArrow(run, "content binary, bucket long").select("bucket", F.col("content").alias("node")).distinct()
+
+
+def linked_parts(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, size: int, counts: bool, threshold: float) -> DataFrame:
+    """``node, root`` of all nodes with links."""
+    members = stored(crowded_buckets(signs), "buckets").select(
+        "bucket", "node", F.lit(True).alias("open"), F.col("node").alias("part")
     )
-    values = nodes.select("node", "finer")
-    members = nodes.select("node", F.lit(True).alias("open"), F.posexplode("keys").alias("band", "bucket"))
-    found = sets = None
+    links = df.sparkSession.createDataFrame([], "node binary, first binary")
+    sets = values = None
     turn = 0
     while True:
-        firsts = (
+        # most nodes settle in the first round, by one head; later ones have several heads, for fewer rounds
+        heads = [F.min(F.when(F.col("open"), F.struct("node", "part")))]
+        if turn:
+            slot = F.pmod(F.xxhash64("bucket", "node"), F.lit(HEADS))
+            heads = [F.min(F.when((slot == i) & (F.col("open") == own), F.struct("node", "part"))) for own in (True, False) for i in range(HEADS)]
+        headed = (
             members.groupBy("bucket")
-            .agg(F.min(F.when(F.col("open"), F.col("node"))).alias("first"), F.count("*").alias("n"))
-            .where("n > 1 AND first IS NOT NULL")
-            .drop("n")
+            .agg(
+                F.array_compact(F.array(*heads)).alias("heads"),
+                F.min("part").alias("a"),
+                F.max("part").alias("b"),
+                F.max("open").alias("any_open"),
+            )
+            .where("a <> b AND any_open")
+            .select("bucket", "heads")
         )
-        grouped = stored(members.join(firsts, "bucket").where("node <> first"), "bucket-members")
+        grouped = stored(members.join(headed, "bucket"), "bucket-members")
         if grouped.isEmpty():
-            break
-        pairs = cut_lineage(grouped.select("node", "first").distinct())
+            return components(links)
+        faced = grouped.where("open").select("node", "part", F.explode("heads").alias("h")).where("node <> h.node AND part <> h.part")
+        pairs = cut_lineage(faced.select("node", F.col("h.node").alias("first")).distinct())
         if sets is None:
-            # every later comparison is between nodes of the first one
-            needed = pairs.select("node").unionByName(pairs.select(F.col("first").alias("node"))).distinct()
-            sets = stored(shingle_sets(df, cut_lineage(needed), id_col, text_col, size, counts), "shingle-sets")
-        judged = cut_lineage(similar(pairs, sets, threshold))
-        links = judged.where("linked").select("node", "first")
-        found = links if found is None else found.unionByName(links)
+            # later rounds compare nodes of the first one only
+            nodes = pairs.select("node").unionByName(pairs.select(F.col("first").alias("node"))).distinct()
+            nodes = cut_lineage(nodes)
+            sets = stored(shingle_sets(df, nodes, id_col, text_col, size, counts), "shingle-sets")
+            signed_nodes = signs.select(F.col("content").alias("node"), "finer")
+            values = stored(signed_nodes.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "finer-values")
+        linked = cut_lineage(similar(pairs, sets, threshold).where("linked").select("node", "first"))
+        links = links.unionByName(linked)
         turn += 1
-        rest = grouped.join(judged, ["node", "first"]).join(values, "node")
-        members = rest.select("node", (F.col("open") & ~F.col("linked")).alias("open"), "band", finer_key(turn).alias("bucket"))
-    return found if found is not None else df.sparkSession.createDataFrame([], "node binary, first binary")
+        left = grouped.where("NOT (open AND exists(heads, h -> h.node = node))").join(values, "node")
+        if turn == 1:
+            # the bulk of a large group is connected from here on
+            roots = components(links)
+            part = F.coalesce("root", "node")
+            heads = grouped.select("bucket", F.explode("heads").alias("h")).select("bucket", F.col("h.node").alias("node"))
+            met = heads.distinct().join(roots, "node", "left").groupBy("bucket").agg(F.collect_set(part).alias("met"))
+            left = left.join(roots, "node", "left").join(met, "bucket").withColumn("part", part)
+            left = left.withColumn("open", F.col("open") & ~F.array_contains("met", F.col("part")))
+        else:
+            found = linked.select("node", F.lit(True).alias("found")).distinct()
+            left = left.join(found, "node", "left").withColumn("open", F.col("open") & F.col("found").isNull())
+        members = left.select(finer_key(turn).alias("bucket"), "node", "open", "part")
 
 
 def _classes(
     df: DataFrame, id_col: str, text_col: str, size: int, threshold: float, weights: str, bands: int, rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """Stored signs with a tag, and ``node, root`` of the nodes that have links."""
-    if weights not in ("set", "counts"):
-        raise ValueError("weights: set or counts")
+    if weights not in ("set", "counts") or not 0 < bands <= BAND_MASK + 1:
+        raise ValueError(f"weights: set or counts; at most {BAND_MASK + 1} bands")
     counts = weights == "counts"
     signs = stored(
         signed(df, id_col, text_col, size, counts, bands, rows).withColumn("tag", F.monotonically_increasing_id()), "signatures"
     )
-    return signs, components(linked_nodes(df, signs, id_col, text_col, size, counts, threshold))
+    return signs, linked_parts(df, signs, id_col, text_col, size, counts, threshold)
 
 
 def _best() -> Column:
