@@ -172,7 +172,7 @@ class GramCounter:
 
     SCHEMA = "kind string, code long, n long"
 
-    def __init__(self, orders: dict[str, int], most: int = 400_000):
+    def __init__(self, orders: dict[str, int], most: int = 200_000):
         self.orders, self.most = orders, most
         self.words: dict[str, Counter] = {kind: Counter() for kind in orders}
 
@@ -209,7 +209,7 @@ def summed(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 class Vocabulary:
     """Numbers of words, and a value of each, computed once."""
 
-    def __init__(self, value: Callable[[list[bytes]], np.ndarray], most: int = 300_000):
+    def __init__(self, value: Callable[[list[bytes]], np.ndarray], most: int = 150_000):
         self.value, self.most = value, most
         self.number: dict[bytes, int] = {}
         self.values = np.empty(0)

@@ -45,7 +45,7 @@ BANDS, ROWS = 24, 5
 BAND_MASK = 31
 HEADS = 3
 FIRST_RANK = 1 / 64
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # an odd factor for each place in a shingle
 FACTORS = mixed64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
