@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames no longer referenced; a loop that runs
+    many small actions would otherwise keep those of every round until the driver's heap fills."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def mixed64(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix (finaliser of splitmix64), one to one."""
     x = x.astype(np.uint64)

@@ -14,8 +14,8 @@ is one look at each shingle and band plus the darts, not shingles times coordina
 
 Documents that agree on all rows of a band share a bucket.  Equal word sequences are one
 node from the start.  No pairs are formed inside a bucket: every open node is compared exactly
-with the bucket's head, its first open node, unless the two are known to be connected; in later rounds with up to
-``HEADS`` open ones and as many of the others.  Open heads leave, and nodes linked to a head are open no more.  All go on in finer buckets (by further coordinates); a bucket is done when
+with the bucket's head, its first open node, unless the two are known to be connected; in later rounds with several
+open ones and as many of the others (``HEADS`` each, more in every round up to ``MOST_HEADS``, as fewer nodes are left).  Open heads leave, and nodes linked to a head are open no more.  All go on in finer buckets (by further coordinates); a bucket is done when
 its nodes are all connected or none is open.  Connected parts are found by alternating large and
 small stars.
 
@@ -38,14 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import bloom
-from foliary.llm.common import byte_texts, mixed64, slices, stored, words_of
+from foliary.llm.common import byte_texts, mixed64, release, slices, stored, words_of
 from foliary.session import cut_lineage
 
 BANDS, ROWS = 24, 5
 BAND_MASK = 31
-HEADS = 3
+HEADS, MOST_HEADS = 3, 12
 FIRST_RANK = 1 / 64
 KNOWN_WORDS = 100_000
+SLICE = 1 << 20  # bytes of text cut into shingles at once
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # an odd factor for each place in a shingle
 FACTORS = mixed64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -157,7 +158,7 @@ def signed(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 content, cells = [], []
                 for text in byte_texts(part.column(1)):
                     words = words_of(text)
@@ -192,7 +193,7 @@ def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 found, cells = [], []
                 for text in byte_texts(part.column(0)):
                     words = words_of(text)
@@ -250,6 +251,7 @@ def components(links: DataFrame) -> DataFrame:
         if inner.unionByName(forked).isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         edges = cut_lineage(star(cut_lineage(star(edges, True)), False))
+        release(edges)
 
 
 def finer_key(turn: int) -> Column:
@@ -297,8 +299,9 @@ def linked_parts(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, si
         # most nodes settle in the first round, by one head; later ones have several heads, for fewer rounds
         heads = [F.min(F.when(F.col("open"), F.struct("node", "part")))]
         if turn:
-            slot = F.pmod(F.xxhash64("bucket", "node"), F.lit(HEADS))
-            heads = [F.min(F.when((slot == i) & (F.col("open") == own), F.struct("node", "part"))) for own in (True, False) for i in range(HEADS)]
+            n = min(HEADS * turn, MOST_HEADS)
+            slot = F.pmod(F.xxhash64("bucket", "node"), F.lit(n))
+            heads = [F.min(F.when((slot == i) & (F.col("open") == own), F.struct("node", "part"))) for own in (True, False) for i in range(n)]
         headed = (
             members.groupBy("bucket")
             .agg(
@@ -311,6 +314,7 @@ def linked_parts(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, si
             .select("bucket", "heads")
         )
         grouped = stored(members.join(headed, "bucket"), "bucket-members")
+        release(df)
         if grouped.isEmpty():
             return components(links)
         faced = grouped.where("open").select("node", "part", F.explode("heads").alias("h")).where("node <> h.node AND part <> h.part")
@@ -324,6 +328,7 @@ def linked_parts(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, si
             values = stored(signed_nodes.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "finer-values")
         linked = cut_lineage(similar(pairs, sets, threshold).where("linked").select("node", "first"))
         links = links.unionByName(linked)
+        release(df)
         turn += 1
         left = grouped.where("NOT (open AND exists(heads, h -> h.node = node))").join(values, "node")
         if turn == 1:
