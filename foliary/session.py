@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # join the sessions of one document inside each task before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # rows with long texts: fewer of them in one Arrow batch
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # split a hot join key even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
