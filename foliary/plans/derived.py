@@ -140,8 +140,11 @@ CATALOG = {
 }
 _JOINS = {
     "e": "LEFT JOIN {embeddings} e ON e.vec_id=d.doc_id",
-    # the key expression yields 0..19 only
-    "c": "LEFT JOIN (SELECT c_custkey, c_name FROM {customer} WHERE c_custkey < 20) c ON c.c_custkey=d.doc_id%20",
+    # every customer has documents; a third of all documents belongs to twenty busy ones
+    "c": (
+        "LEFT JOIN {customer} c ON c.c_custkey=CASE WHEN d.doc_id%3=0 THEN d.doc_id%20 "
+        "ELSE CAST(floor(d.doc_id/3) AS BIGINT) END % (SELECT count(*) FROM {customer})"
+    ),
     "o": "LEFT JOIN {orders} o ON o.o_orderkey=d.doc_id",
 }
 
@@ -160,7 +163,7 @@ VIEWS = {
         "p.p_type AS mapped_primary_category, p.p_brand AS mapped_subcategory, "
         f"{_TERM} AS mapped_canonical_term "
         "FROM {documents} d CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k "
-        "JOIN {part} p ON p.p_partkey=(d.doc_id*7+k.k*13)%200"
+        "JOIN {part} p ON p.p_partkey=(d.doc_id*7+k.k*13)%(SELECT count(*) FROM {part})"
     ),
     "taxonomy": (
         "SELECT DISTINCT md5(concat(p.p_type,'|',CASE WHEN p.p_brand='Brand#1' THEN '' ELSE p.p_brand END,'|',"
@@ -169,7 +172,7 @@ VIEWS = {
         "FROM {part} p WHERE p.p_name NOT LIKE 'red %'"
     ),
     "synonyms": (
-        "SELECT p.p_partkey AS id, concat('the ',p.p_name) AS synonym FROM {part} p WHERE p.p_size < 10"
+        "SELECT p.p_partkey AS id, concat('the ',p.p_name) AS synonym FROM {part} p"
     ),
     "search_queries": (
         "SELECT event_id AS id, CASE WHEN event_id%9=0 THEN '(filter only)' ELSE concat(event_type,' ',CAST(user_id%7 AS STRING)) END AS query, "
@@ -213,7 +216,7 @@ VIEWS = {
         "WITH b AS (SELECT d.doc_id AS id, d.doc_id%9 AS v, concat(split_part(p.p_name,' ',1),' ',split_part(p.p_name,' ',2)) AS low, "
         "concat(upper(substring(split_part(p.p_name,' ',1),1,1)),substring(split_part(p.p_name,' ',1),2),' ',upper(substring(split_part(p.p_name,' ',2),1,1)),substring(split_part(p.p_name,' ',2),2)) AS cap, "
         "CASE d.doc_id%4 WHEN 0 THEN 'Texas' WHEN 1 THEN 'Nebraska' WHEN 2 THEN 'Ohio' ELSE 'West Virginia' END AS st "
-        "FROM {documents} d JOIN {part} p ON p.p_partkey=d.doc_id%200) "
+        "FROM {documents} d JOIN {part} p ON p.p_partkey=d.doc_id%(SELECT count(*) FROM {part})) "
         "SELECT id, CASE v WHEN 0 THEN concat('  the ',low,'   committee') WHEN 1 THEN upper(concat(low,' for judge')) "
         "WHEN 2 THEN concat('Republican Party of ',st) WHEN 3 THEN concat(st,' GOP') WHEN 4 THEN 'Not authorized by any candidate' "
         "WHEN 5 THEN concat(low,' committee - ron richard') WHEN 6 THEN concat(low,'!?,') WHEN 7 THEN split_part(low,' ',1) ELSE concat(low,chr(10),'o''brien 97th') END AS raw, "
@@ -250,11 +253,9 @@ _SPARK_VIEWS = {
         "p.p_type AS mapped_primary_category, p.p_brand AS mapped_subcategory, "
         f"{_TERM} AS mapped_canonical_term "
         "FROM (SELECT doc_id, explode(array(0, 1, 2)) AS k FROM {documents}) d "
-        "JOIN (SELECT p_partkey, p_name, p_type, p_brand FROM {part} WHERE p_partkey < 200) p "
-        "ON p.p_partkey=(d.doc_id*7+d.k*13)%200"
+        "JOIN {part} p ON p.p_partkey=(d.doc_id*7+d.k*13)%(SELECT count(*) FROM {part})"
     ),
 }
-TEXT_TABLES = ["documents", "orders", "conversations", "pages"]
 
 
 class Tables:
@@ -269,18 +270,9 @@ class Tables:
         opened = self.spark.__dict__.setdefault("_foliary_opened", {})
         key = (self.folder, name)
         if key not in opened:
-            opened[key] = self._open(name)
+            opened[key] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return opened[key]
 
-    def _open(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        # per-row text work is heavy: a small table that arrives in fewer splits
-        # than there are cores is spread over them, a large one left as it is
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-        return df
-
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         for name in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)):
             frames.setdefault(name, self.source(name))
@@ -301,50 +293,32 @@ class Tables:
         extra = [c for c in ("id", "mapping_count") if nested and c not in plain]
         df = self.sql(catalog_sql(plain + extra))
         if nested:
-            df = df.withColumn("keywords", self._keywords())
+            df = self._with_keywords(df)
         return df.select(*columns)
 
-    def _keywords(self):
-        # parts 0..199 as one map value; every document looks three of them up
-        parts = (
-            self.part.filter(F.col("p_partkey") < 200)
-            .agg(
-                F.map_from_entries(
-                    F.collect_list(
-                        F.struct(
-                            "p_partkey",
-                            F.struct(
-                                F.col("p_name").alias("verbatim_term"),
-                                F.col("p_type").alias("mapped_primary_category"),
-                                F.col("p_brand").alias("mapped_subcategory"),
-                                F.concat_ws(" ", "p_brand", "p_name").alias(
-                                    "mapped_canonical_term"
-                                ),
-                            ),
-                        )
-                    )
-                )
-            )
-            .scalar()
-        )
-        mappings = F.array(
-            *[
-                F.try_element_at(parts, F.pmod(F.col("id") * 7 + k * 13, F.lit(200)))
-                for k in range(3)
-            ]
+    def _with_keywords(self, df: DataFrame) -> DataFrame:
+        # three mappings a document, in their order
+        mapping = F.struct(
+            "verbatim_term", "mapped_primary_category", "mapped_subcategory", "mapped_canonical_term"
+        ).alias("mapping")
+        found = self.doc_mappings.groupBy(F.col("document_id").alias("id")).agg(
+            F.array_sort(F.collect_list(F.struct("pos", mapping))).alias("found")
         )
+        none = F.array().cast(_MAPPINGS_TYPE)
+        mappings = F.coalesce(F.transform("found", lambda x: x["mapping"]), none)
         count = F.col("mapping_count")
-        return F.when(
+        keywords = F.when(
             count.isNotNull(),
             F.struct(
                 F.array(F.lit("mail"), F.lit("print")).alias("keywords"),
                 F.array(F.lit("Issue")).alias("categories"),
                 F.when(count > 0, mappings)
-                .otherwise(F.array().cast(_MAPPINGS_TYPE))
+                .otherwise(none)
                 .alias("keyword_mappings"),
                 count.alias("mapping_count"),
             ),
         )
+        return df.join(found, "id", "left").withColumn("keywords", keywords)
 
     def links(self) -> DataFrame:
         from foliary.operators.mappings import link_terms

@@ -262,13 +262,13 @@ def override_table(t: Tables):
 @query(
     "F20_title_case",
     """SELECT id, CASE v WHEN 8 THEN concat(cap2, ' O''Brien 97Th') ELSE cap2 END AS titled FROM
-    (SELECT id, id%9 AS v, concat(upper(a[1]), a[2:], ' ', upper(b[1]), b[2:]) AS cap2 FROM (SELECT d.doc_id AS id, split_part(p_name,' ',1) AS a, split_part(p_name,' ',2) AS b FROM documents d JOIN part ON p_partkey=doc_id%200))""",
+    (SELECT id, id%9 AS v, concat(upper(a[1]), a[2:], ' ', upper(b[1]), b[2:]) AS cap2 FROM (SELECT d.doc_id AS id, split_part(p_name,' ',1) AS a, split_part(p_name,' ',2) AS b FROM documents d JOIN part ON p_partkey=doc_id%(SELECT count(*) FROM part)))""",
 )
 def title_case(t: Tables):
-    part = t.part.select("p_partkey", "p_name").filter("p_partkey < 200")
-    named = t.documents.select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") % 200).alias("p_partkey")
-    ).join(part, "p_partkey")
+    named = t.sql(
+        "SELECT d.doc_id AS id, p.p_name FROM {documents} d JOIN {part} p "
+        "ON p.p_partkey=d.doc_id%(SELECT count(*) FROM {part})"
+    )
     raw = F.when(F.col("id") % 9 == 8, F.concat("p_name", F.lit(" o'BRIEN 97th"))).otherwise(
         F.upper("p_name")
     )
