@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -53,13 +54,16 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is a temporary one made
-    and remembered in the session.
+    Only where a local session (a test) names none is a temporary one made and remembered; on a cluster
+    a folder of one machine would not do, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("foliary.test.folder", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="foliary-")
         spark.conf.set("foliary.test.folder", folder)
         spark.sparkContext.setCheckpointDir(folder)
