@@ -65,6 +65,13 @@ def filled(hashes: DataFrame, size: int, least: int) -> np.ndarray:
     return out
 
 
+def tested(hashes: pa.Array, bits: np.ndarray, size: int) -> pa.Array:
+    """Whether the filter may hold each hash."""
+    where = positions(hashes, size)
+    hit = (bits[where >> np.uint64(3)] >> (np.uint64(7) - (where & np.uint64(7))).astype(np.uint8)) & 1
+    return pa.array(hit.all(axis=1))
+
+
 def with_test(df: DataFrame, column: str, bits: np.ndarray, size: int, name: str = "possible") -> DataFrame:
     """``df`` and whether the filter may hold the hash in ``column``."""
     sent = df.sparkSession.sparkContext.broadcast(bits)
@@ -74,8 +81,7 @@ def with_test(df: DataFrame, column: str, bits: np.ndarray, size: int, name: str
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            where = positions(batch.column(at), size)
-            hit = (own[where >> np.uint64(3)] >> (np.uint64(7) - (where & np.uint64(7))).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit.all(axis=1))], names=[*batch.schema.names, name])
+            hit = tested(batch.column(at), own, size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, hit], names=[*batch.schema.names, name])
 
     return df.mapInArrow(test, schema)

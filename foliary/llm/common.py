@@ -42,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def whole_rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``row, doc_id`` with all columns in ``row``, and the place of the text in it: it is not copied beside it."""
+    names = df.columns
+    row = F.struct(*[df[f"`{n}`"] for n in names]).alias("row")
+    at = [n.lower() for n in names].index(text_col.lower())
+    return df.select(row, df[f"`{id_col}`"].cast("long").alias("doc_id")), at
+
+
 def release(df: DataFrame) -> None:
     """Let Spark delete the shuffle files and checkpoints of frames no longer referenced; a loop that runs
     many small actions would otherwise keep those of every round until the driver's heap fills."""

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import bloom
-from foliary.llm.common import WHITE_SPACE, byte_texts, stored
+from foliary.llm.common import WHITE_SPACE, byte_texts, stored, whole_rows
+
 
 def digest(text: bytes) -> bytes:
     return hashlib.sha256(text.translate(None, WHITE_SPACE)).digest()
@@ -109,30 +110,32 @@ def without_copies(
     of their groups; no other text shuffles.
     """
     names = df.columns
-    whole = df.select(
-        F.struct(*[df[f"`{n}`"] for n in names]).alias("row"),
-        df[f"`{id_col}`"].cast("long").alias("doc_id"),
-        df[f"`{text_col}`"].alias("text"),
-    )
+    whole, text_at = whole_rows(df, id_col, text_col)
+    hashes = stored(hashed(df, id_col, text_col), "text-hashes")
+    size = bloom.filter_size(hashes.count(), bits_per_row, max_filter_bits)
+    bits = df.sparkSession.sparkContext.broadcast(bloom.filled(hashes.select("sha"), size, 2))
 
+    # rows are hashed and looked up in one step: a second one would be a second Python process for each task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chars, shas = [], []
-            for text in byte_texts(batch.column(2)):
+            for text in byte_texts(batch.column(0).field(text_at)):
                 chars.append(code_points(text))
                 shas.append(digest(text))
+            sha = pa.array(shas, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(chars, pa.int64()), pa.array(shas, pa.binary())],
-                names=["row", "doc_id", "n_chars", "sha"],
+                [batch.column(0), batch.column(1), pa.array(chars, pa.int64()), sha, bloom.tested(sha, bits.value, size)],
+                names=["row", "doc_id", "n_chars", "sha", "possible"],
             )
 
     schema = whole.select(
-        "row", "doc_id", F.lit(0).cast("long").alias("n_chars"), F.lit(b"").cast("binary").alias("sha")
+        "row",
+        "doc_id",
+        F.lit(0).cast("long").alias("n_chars"),
+        F.lit(b"").cast("binary").alias("sha"),
+        F.lit(True).alias("possible"),
     ).schema
-    hashes = stored(hashed(df, id_col, text_col), "text-hashes")
-    size = bloom.filter_size(hashes.count(), bits_per_row, max_filter_bits)
-    bits = bloom.filled(hashes.select("sha"), size, 2)
-    flagged = bloom.with_test(whole.mapInArrow(run, schema), "sha", bits, size)
+    flagged = whole.mapInArrow(run, schema)
     possible = stored(
         flagged.where("possible").drop("possible").withColumn("tag", F.monotonically_increasing_id()),
         "possible-copies",

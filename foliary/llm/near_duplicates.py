@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import bloom
-from foliary.llm.common import byte_texts, mixed64, release, slices, stored, words_of
+from foliary.llm.common import byte_texts, mixed64, release, slices, stored, whole_rows, words_of
 from foliary.session import cut_lineage
 
 BANDS, ROWS = 24, 5
@@ -198,8 +198,7 @@ def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, si
                 for text in byte_texts(part.column(0)):
                     words = words_of(text)
                     content = xxhash.xxh3_128_digest(b" ".join(words))
-                    at = bloom.positions(pa.array([content]), filter_bits)[0]
-                    if all(bits.value[int(p) >> 3] >> (7 - (int(p) & 7)) & 1 for p in at) and words:
+                    if words and bloom.tested(pa.array([content]), bits.value, filter_bits)[0].as_py():
                         found.append(content)
                         cells.append((shingles(hashes(words), size, counts) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 if found:
@@ -280,9 +279,7 @@ def crowded_buckets(signs: DataFrame) -> DataFrame:
         for batch in batches:
             buckets = batch.column(1).to_numpy()
             digests = [hashlib.md5(str(b).encode()).digest() for b in buckets.tolist()]
-            where = bloom.positions(pa.array(digests, pa.binary()), size)
-            own = (bits.value[where >> np.uint64(3)] >> (np.uint64(7) - (where & np.uint64(7))).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(own.all(axis=1)))
+            yield batch.filter(bloom.tested(pa.array(digests, pa.binary()), bits.value, size))
 
     return keyed.mapInArrow(run, "content binary, bucket long").select("bucket", F.col("content").alias("node")).distinct()
 
@@ -408,21 +405,21 @@ def without_near_copies(
     crowded = cut_lineage(crowded.unionByName(roots.select(F.col("root").alias("content"))).distinct())
     filter_bits = bloom.filter_size(crowded.count())
     names = df.columns
-    whole = df.select(
-        F.struct(*[df[f"`{n}`"] for n in names]).alias("row"),
-        df[f"`{id_col}`"].cast("long").alias("doc_id"),
-        df[f"`{text_col}`"].alias("text"),
-    )
-    schema = whole.select("row", "doc_id", F.lit(b"").cast("binary").alias("content")).schema
+    whole, text_at = whole_rows(df, id_col, text_col)
+    bits = df.sparkSession.sparkContext.broadcast(bloom.filled(crowded, filter_bits, 1))
+    schema = whole.select("row", "doc_id", F.lit(b"").cast("binary").alias("content"), F.lit(True).alias("possible")).schema
 
+    # rows are hashed and looked up in one step: a second one would be a second Python process for each task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = [xxhash.xxh3_128_digest(b" ".join(words_of(text))) for text in byte_texts(batch.column(2))]
+            texts = byte_texts(batch.column(0).field(text_at))
+            content = pa.array([xxhash.xxh3_128_digest(b" ".join(words_of(text))) for text in texts], pa.binary())
+            possible = bloom.tested(content, bits.value, filter_bits)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(content, pa.binary())], names=["row", "doc_id", "content"]
+                [batch.column(0), batch.column(1), content, possible], names=["row", "doc_id", "content", "possible"]
             )
 
-    flagged = bloom.with_test(whole.mapInArrow(run, schema), "content", bloom.filled(crowded, filter_bits, 1), filter_bits)
+    flagged = whole.mapInArrow(run, schema)
     possible = stored(
         flagged.where("possible").drop("possible").withColumn("tag", F.monotonically_increasing_id()), "possible-near-copies"
     )
