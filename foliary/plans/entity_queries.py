@@ -76,13 +76,12 @@ def committee_to_person(t: Tables):
 @query(
     "F08_name_in_body",
     """SELECT id, true_client AS name, 'HIGH' AS confidence FROM mailers
-    UNION ALL SELECT -1 - id, true_client, true_client_confidence FROM mixed_mailers WHERE v IN (2,3,4,5)""",
+    UNION ALL SELECT -1 - id, CASE WHEN v IN (2,3,4,5) THEN true_client END, CASE WHEN v IN (2,3,4,5) THEN true_client_confidence END FROM mixed_mailers""",
 )
 def name_in_body(t: Tables):
     plain = t.mailers.select("id", "extracted_text")
-    mixed = t.mixed_mailers.filter(F.col("v").isin(2, 3, 4, 5)).select(
-        (-1 - F.col("id")).alias("id"), "extracted_text"
-    )
+    # the other mailers name a person in the payer's line only
+    mixed = t.mixed_mailers.select((-1 - F.col("id")).alias("id"), "extracted_text")
     found = x.find_names(plain.unionByName(mixed))
     return found.select("id", "body_name.name", "body_name.confidence")
 
@@ -347,13 +346,13 @@ def _ai_extract(t: Tables):
 @query(
     "F22_merged_clients",
     """SELECT id, CASE WHEN k=0 THEN concat('Mayor ', true_clean) WHEN k=1 THEN 'joe mcdonald' END AS client_from_ai,
-    CASE WHEN k=0 AND v=7 THEN cap WHEN k=0 AND v IN (2,3) THEN true_canonical WHEN k=0 THEN coalesce(true_clean, 'Somebody') WHEN true_clean IS NOT NULL AND v IN (2,3) THEN true_canonical WHEN true_clean IS NOT NULL THEN true_clean WHEN k=1 THEN 'Joe McDonald' END AS client_canonical,
+    CASE WHEN v IN (2,3) THEN true_canonical WHEN true_clean IS NOT NULL THEN true_clean WHEN k=1 THEN 'Joe McDonald' END AS client_canonical,
     CASE WHEN k=0 THEN 'ai_tier1_keyword' WHEN k=1 AND true_clean IS NOT NULL THEN 'clean_v1_over_ai_medium' WHEN true_clean IS NOT NULL THEN 'clean_v1_fallback' WHEN k=1 THEN 'ai_tier2_summary_medium' ELSE 'null' END AS canonical_source
-    FROM (SELECT id, id%3 AS k, id%9 AS v, true_clean, true_canonical, 'x' AS cap FROM payers) WHERE NOT (k=0 AND true_clean IS NULL) AND NOT (k=0 AND v NOT IN (6))""",
+    FROM (SELECT id, id%3 AS k, id%9 AS v, true_clean, true_canonical FROM payers)""",
 )
 def merged_clients(t: Tables):
     k = F.col("id") % 3
-    rows = t.payers.filter(~((k == 0) & (F.col("id") % 9 != 6)))
+    rows = t.payers
     predictions = rows.select(
         "id",
         F.lit("f.pdf").alias("filename"),
@@ -373,12 +372,14 @@ def merged_clients(t: Tables):
 
 @query(
     "F22_agreement_merge",
-    """SELECT id, CASE WHEN true_clean IS NULL THEN 'Kim Novak' ELSE true_canonical END AS client_canonical,
-    CASE WHEN true_clean IS NULL THEN 'ai_tier2_summary_medium' ELSE 'agreement_boost' END AS canonical_source FROM payers WHERE true_clean IS NULL OR id%9 IN (2,3,6)""",
+    """SELECT id, CASE WHEN true_clean IS NULL THEN 'Kim Novak' WHEN id%9 IN (2,3) THEN true_canonical ELSE true_clean END AS client_canonical,
+    CASE WHEN true_clean IS NULL THEN 'ai_tier2_summary_medium' WHEN id%9=1 AND 2.0*length(true_canonical)/(length(true_canonical)+length(true_clean)) <= 0.85 THEN 'clean_v1_over_ai_medium'
+    ELSE 'agreement_boost' END AS canonical_source FROM payers""",
 )
 def agreement_merge(t: Tables):
     n = F.col("true_clean")
-    rows = t.payers.filter(n.isNull() | (F.col("id") % 9).isin(2, 3, 6)).select(
+    # the office after a name is no part of the name found by the model: too far from the clean one
+    rows = t.payers.select(
         "id",
         n.alias("resolved"),
         # one letter more than the clean name
@@ -391,12 +392,11 @@ def agreement_merge(t: Tables):
 
 @query(
     "F21_clean_ai_name",
-    "SELECT id, CASE WHEN id%9 IN (2,3) THEN true_canonical ELSE true_clean END AS name FROM payers WHERE id%9 IN (0,2,3,6)",
+    "SELECT id, CASE WHEN id%9 IN (2,3) THEN true_canonical ELSE true_clean END AS name FROM payers",
 )
 def clean_ai_name(t: Tables):
-    rows = t.payers.filter((F.col("id") % 9).isin(0, 2, 3, 6))
     raw = F.concat(F.lit("the  "), F.lower("true_clean"), F.lit("-"))
-    return rows.select("id", nm.clean_ai_name(raw).alias("name"))
+    return t.payers.select("id", nm.clean_ai_name(raw).alias("name"))
 
 
 @query(

@@ -245,7 +245,7 @@ def deletion_report(t: Tables):
     CASE WHEN true_frank THEN true_client ELSE concat('Friends Of ', true_client) END AS client_canonical,
     CASE WHEN true_frank THEN 'ai_tier2_summary' ELSE 'clean_v1_over_ai_medium' END AS canonical_source, CASE WHEN NOT true_frank THEN 'passthrough' END AS rules_source,
     true_state AS state, CASE WHEN year(true_date) BETWEEN 2019 AND 2026 THEN CAST(true_date AS VARCHAR) END AS date_created, needs_review
-    FROM (SELECT *, true_needs_review AS needs_review FROM mailers) WHERE year(true_date) <= 2026""",
+    FROM (SELECT *, true_needs_review AS needs_review FROM mailers)""",
 )
 def document_features(t: Tables):
     from foliary.operators import entities as e
@@ -256,7 +256,7 @@ def document_features(t: Tables):
         "true_client",
         F.lit("."),
     )
-    mail = t.mailers.filter("year(true_date) <= 2026").select(
+    mail = t.mailers.select(
         "id",
         "extracted_text",
         F.to_json(F.struct(summary.alias("summary"))).alias("ai_analysis"),
