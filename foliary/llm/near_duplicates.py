@@ -13,11 +13,11 @@ rank.  Rank bands are opened one after the other until every coordinate has its
 is one look at each shingle and band plus the darts, not shingles times coordinates.
 
 Documents that agree on all rows of a band share a bucket.  Equal word sequences are one
-node from the start.  No pairs are formed inside a bucket: every open node is compared exactly
-with the bucket's head, its first open node, unless the two are known to be connected; in later rounds with several
-open ones and as many of the others (``HEADS`` each, more in every round up to ``MOST_HEADS``, as fewer nodes are left).  Open heads leave, and nodes linked to a head are open no more.  All go on in finer buckets (by further coordinates); a bucket is done when
-its nodes are all connected or none is open.  Connected parts are found by alternating large and
-small stars.
+node from the start.  Any two nodes of a bucket are compared exactly, unless they are known to be connected: in the
+first round all nodes meet one head of their bucket, which settles most of them; in every later one all nodes meet up to
+``LARGEST_HEADS`` heads of the bucket's largest part and up to ``HEADS``, times 4 in each round up to ``MOST_HEADS``,
+of its other parts.  A head has then met all nodes of the bucket beyond its own part and leaves it.  Connected parts are
+found anew after each round, by alternating large and small stars; a bucket is done when one part is left in it.
 
 Defined cases: a null or empty text, or one without words, is in no class but its own.  Rows that
 repeat an id are rows of their own.  ``class_id`` is the smallest id of the class; the row with it
@@ -43,7 +43,7 @@ from foliary.session import cut_lineage
 
 BANDS, ROWS = 24, 5
 BAND_MASK = 31
-HEADS, MOST_HEADS = 3, 12
+LARGEST_HEADS, HEADS, MOST_HEADS = 8, 8, 256
 FIRST_RANK = 1 / 64
 KNOWN_WORDS = 100_000
 SLICE = 1 << 20  # bytes of text cut into shingles at once
@@ -152,8 +152,7 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signed(
     df: DataFrame, id_col: str, text_col: str, size: int, counts: bool, bands: int, rows: int
 ) -> DataFrame:
-    """``doc_id, content, keys, finer``: the hash of the word sequence (null without words), the band
-    keys and one further value of each band."""
+    """``doc_id, content, keys``: the hash of the word sequence (null without words) and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -167,7 +166,6 @@ def signed(
                 owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
                 values = signatures(np.concatenate(cells), owner, len(cells), bands * rows)
                 keys = band_keys(values, bands, rows).view(np.int64)
-                finer = (values[:, ::rows] & np.uint64(0x7FFFFFFF)).astype(np.int32)
                 full = np.array([len(c) > 0 for c in cells])
                 ends = np.cumsum(np.r_[0, np.where(full, bands, 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -175,13 +173,12 @@ def signed(
                         part.column(0),
                         pa.array(content, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel())),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(finer[full].ravel())),
                     ],
-                    names=["doc_id", "content", "keys", "finer"],
+                    names=["doc_id", "content", "keys"],
                 )
 
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, content binary, keys array<long>, finer array<int>")
+    return narrow.mapInArrow(run, "doc_id long, content binary, keys array<long>")
 
 
 def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, counts: bool) -> DataFrame:
@@ -213,14 +210,15 @@ def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, si
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (``node, first``) and whether they are linked, by the exact similarity."""
+    """The pairs (``node, first``) that are linked, by the exact similarity."""
     a = sets.select(F.col("node"), F.col("cells").alias("a"))
     b = sets.select(F.col("node").alias("first"), F.col("cells").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     return (
         pairs.join(a, "node")
         .join(b, "first")
-        .select("node", "first", (common >= threshold * (F.size("a") + F.size("b") - common) - 1e-9).alias("linked"))
+        .where(common >= threshold * (F.size("a") + F.size("b") - common) - 1e-9)
+        .drop("a", "b")
     )
 
 
@@ -253,15 +251,6 @@ def components(links: DataFrame) -> DataFrame:
         release(edges)
 
 
-def finer_key(turn: int) -> Column:
-    """The bucket with further values, of the bands after its own (one in the first turn, then two each); the
-    band stays in the lowest bits."""
-    band = F.col("bucket").bitwiseAND(F.lit(BAND_MASK))
-    steps = [1] if turn == 1 else [2 * turn - 2, 2 * turn - 1]
-    values = [F.element_at("finer", ((band + step) % F.size("finer") + 1).cast("int")) for step in steps]
-    return F.xxhash64("bucket", *values).bitwiseAND(F.lit(~BAND_MASK)).bitwiseOR(band)
-
-
 def crowded_buckets(signs: DataFrame) -> DataFrame:
     """``bucket, node`` of the buckets that hold several nodes.
 
@@ -284,62 +273,57 @@ def crowded_buckets(signs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "content binary, bucket long").select("bucket", F.col("content").alias("node")).distinct()
 
 
+def several_parts(members: DataFrame) -> DataFrame:
+    """``members`` of the buckets that hold several parts, and whether a node is of the largest one."""
+    counts = members.groupBy("bucket", "part").count()
+    largest = F.max(F.struct("count", "part"))["part"].alias("largest")
+    mixed = counts.groupBy("bucket").agg(largest, F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    return members.join(mixed, "bucket").select("bucket", "node", "part", (F.col("part") == F.col("largest")).alias("in_largest"))
+
+
+def bucket_heads(grouped: DataFrame, turn: int) -> DataFrame:
+    """``bucket, node, part`` of the nodes that all others meet in this turn."""
+    if not turn:
+        heads = grouped.groupBy("bucket").agg(F.min(F.struct("node", "part")).alias("h"))
+    else:
+        # a hash of the node alone: a node heads its buckets in the same turn, so its pairs are compared once
+        n = F.when(F.col("in_largest"), LARGEST_HEADS).otherwise(min(HEADS * 4 ** (turn - 1), MOST_HEADS))
+        slot = F.pmod(F.xxhash64(F.lit(turn), "node"), n).alias("slot")
+        heads = grouped.groupBy("bucket", "in_largest", slot).agg(F.min(F.struct("node", "part")).alias("h"))
+    return heads.select("bucket", "h.node", "h.part")
+
+
 def linked_parts(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, size: int, counts: bool, threshold: float) -> DataFrame:
     """``node, root`` of all nodes with links."""
-    members = stored(crowded_buckets(signs), "buckets").select(
-        "bucket", "node", F.lit(True).alias("open"), F.col("node").alias("part")
-    )
+    members = stored(crowded_buckets(signs), "buckets").select("bucket", "node", F.col("node").alias("part"))
     links = df.sparkSession.createDataFrame([], "node binary, first binary")
-    sets = values = None
+    sets = None
     turn = 0
     while True:
-        # most nodes settle in the first round, by one head; later ones have several heads, for fewer rounds
-        heads = [F.min(F.when(F.col("open"), F.struct("node", "part")))]
-        if turn:
-            n = min(HEADS * turn, MOST_HEADS)
-            slot = F.pmod(F.xxhash64("bucket", "node"), F.lit(n))
-            heads = [F.min(F.when((slot == i) & (F.col("open") == own), F.struct("node", "part"))) for own in (True, False) for i in range(n)]
-        headed = (
-            members.groupBy("bucket")
-            .agg(
-                F.array_compact(F.array(*heads)).alias("heads"),
-                F.min("part").alias("a"),
-                F.max("part").alias("b"),
-                F.max("open").alias("any_open"),
-            )
-            .where("a <> b AND any_open")
-            .select("bucket", "heads")
-        )
-        grouped = stored(members.join(headed, "bucket"), "bucket-members")
+        grouped = stored(several_parts(members), "bucket-members")
         release(df)
         if grouped.isEmpty():
             return components(links)
-        faced = grouped.where("open").select("node", "part", F.explode("heads").alias("h")).where("node <> h.node AND part <> h.part")
-        pairs = cut_lineage(faced.select("node", F.col("h.node").alias("first")).distinct())
+        heads = cut_lineage(bucket_heads(grouped, turn))
+        met = heads.select("bucket", F.col("node").alias("first"), F.col("part").alias("first_part"))
+        faced = grouped.join(met, "bucket").where("part <> first_part")
+        # a pair has one form, whichever of the two is the head and in whatever bucket they meet
+        turned = F.col("node") > F.col("first")
+        ends = [("node", "first"), ("first", "node"), ("part", "first_part"), ("first_part", "part")]
+        pairs = cut_lineage(faced.select(*[F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in ends]).distinct())
         if sets is None:
             # later rounds compare nodes of the first one only
-            nodes = pairs.select("node").unionByName(pairs.select(F.col("first").alias("node"))).distinct()
-            nodes = cut_lineage(nodes)
+            nodes = cut_lineage(pairs.select("node").unionByName(pairs.select(F.col("first").alias("node"))).distinct())
             sets = stored(shingle_sets(df, nodes, id_col, text_col, size, counts), "shingle-sets")
-            signed_nodes = signs.select(F.col("content").alias("node"), "finer")
-            values = stored(signed_nodes.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "finer-values")
-        linked = cut_lineage(similar(pairs, sets, threshold).where("linked").select("node", "first"))
-        links = links.unionByName(linked)
+        linked = cut_lineage(similar(pairs, sets, threshold))
+        links = links.unionByName(linked.select("node", "first"))
         release(df)
         turn += 1
-        left = grouped.where("NOT (open AND exists(heads, h -> h.node = node))").join(values, "node")
-        if turn == 1:
-            # the bulk of a large group is connected from here on
-            roots = components(links)
-            part = F.coalesce("root", "node")
-            heads = grouped.select("bucket", F.explode("heads").alias("h")).select("bucket", F.col("h.node").alias("node"))
-            met = heads.distinct().join(roots, "node", "left").groupBy("bucket").agg(F.collect_set(part).alias("met"))
-            left = left.join(roots, "node", "left").join(met, "bucket").withColumn("part", part)
-            left = left.withColumn("open", F.col("open") & ~F.array_contains("met", F.col("part")))
-        else:
-            found = linked.select("node", F.lit(True).alias("found")).distinct()
-            left = left.join(found, "node", "left").withColumn("open", F.col("open") & F.col("found").isNull())
-        members = left.select(finer_key(turn).alias("bucket"), "node", "open", "part")
+        # parts are named by their smallest node, so those that are joined keep that name
+        merged = components(linked.select(F.col("part").alias("node"), F.col("first_part").alias("first")))
+        left = grouped.join(heads.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        left = left.join(merged.withColumnRenamed("node", "part"), "part", "left")
+        members = left.select("bucket", "node", F.coalesce("root", "part").alias("part"))
 
 
 def _classes(

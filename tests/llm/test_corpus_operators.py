@@ -161,6 +161,31 @@ def test_large_group_of_near_copies(documents):
     assert got == plain_near_classes(rows)
 
 
+def bridged_families(r, start, sizes, bridges):
+    """Two families of near copies that share buckets but no link, and texts between them that are linked with
+    few members of each."""
+    base = [f"b{r.randrange(10**6)}" for _ in range(400)]
+    middle, other = list(base), list(base)
+    middle[320:358] = other[320:358] = [f"m{r.randrange(10**6)}" for _ in range(38)]
+    other[358:396] = [f"o{r.randrange(10**6)}" for _ in range(38)]
+    texts = [" ".join(w) for w in (base, other, *[[*middle[:-1], f"e{i}"] for i in range(bridges)])]
+    # one more changed word takes the similarity of a member to the texts between below 0.8
+    for own, n in zip((base, other), sizes):
+        for i in range(n):
+            words = list(own)
+            words[10 + i % 300] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    return [(start + i, text) for i, text in enumerate(texts)]
+
+
+def test_families_joined_by_one_bridge(documents):
+    r = random.Random(11)
+    rows = [row for k in range(4) for row in bridged_families(r, 1000 * k, (250, 120), 1)]
+    want = plain_near_classes(rows)
+    assert sorted(sum(n for _, n in c) for c in want) == [373] * 4
+    assert classes_of(near_duplicates.classes(documents(rows))) == want
+
+
 def test_near_copies_leave(documents):
     text = " ".join(map(str, range(50)))
     rows = [(4, text + " end"), (2, text), (2, text), (7, "other words stand here, quite alone"), (8, None), (9, ""), (1, text.upper())]
