@@ -470,9 +470,18 @@ _PAYER_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(raw,
     SELECT id, round(CAST(len(list_intersect(x,y)) AS DOUBLE)/len(list_distinct(x || y)), 6) AS similarity FROM a""",
 )
 def token_similarity(t: Tables):
-    rows = t.payers.filter("true_clean IS NOT NULL")
+    return _similarities(t.payers.filter("true_clean IS NOT NULL"))
+
+
+def _similarities(payers):
     a, b = nm.comparison_form(F.col("raw")), F.lower("true_clean")
-    return rows.select("id", F.round(nm.token_jaccard(a, b), 6).alias("similarity"))
+    return payers.select("id", F.round(nm.token_jaccard(a, b), 6).alias("similarity"))
+
+
+# all payers, those without a clean name too, which the check SQL leaves out
+@query("F23_token_similarity_all")
+def token_similarity_all(t: Tables):
+    return _similarities(t.payers)
 
 
 @query(
@@ -535,3 +544,9 @@ def clean_ocr_text(t: Tables):
     )
     parts = t.part.select((-1 - F.col("p_partkey")).alias("id"), marked.alias("text"))
     return docs.unionByName(parts).select("id", tx.clean_ocr_text(F.col("text")).alias("cleaned"))
+
+
+# all documents, marked and null ones too; SQL has no entity decoding and no look-around
+@query("F01_clean_ocr_documents")
+def clean_ocr_documents(t: Tables):
+    return t.documents.select(F.col("doc_id").alias("id"), tx.clean_ocr_text(F.col("text")).alias("cleaned"))

@@ -1,6 +1,8 @@
 """Golden tables for the per-row rules."""
 
 import datetime
+import html
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,10 @@ from foliary.functions import analysis as an
 from foliary.functions import dates, names, payer, states
 from foliary.functions import text as tx
 from foliary.operators import entities, extraction
+from foliary.plans import registry
+from foliary.plans.derived import Tables
+
+registry.load_all()
 
 
 def apply(spark, rule, values):
@@ -328,3 +334,38 @@ def test_checked_date(spark):
     assert sorted((str(r.c.date_created), r.c.needs_date_review) for r in rows) == [
         ("2019-01-01", False), ("None", False), ("None", True),
     ]
+
+
+def plain_clean_ocr_text(text):
+    if not text:
+        return text
+    text = html.unescape(text)
+    for pattern in (r"\*\*(.+?)\*\*", r"__(.+?)__", r"\*(.+?)\*", r"(?<!\w)_(.+?)_(?!\w)"):
+        text = re.sub(pattern, r"\1", text, flags=re.DOTALL)
+    text = re.sub(r"(?m)^#{1,6}\s+", "", text)
+    return re.sub("[ \t\u00a0]{2,}", " ", text).strip()
+
+
+def test_ocr_cleanup_of_every_document(spark, tmp_path):
+    texts = [
+        None, "", "plain", "**a\nb** &amp; __c__", "# Head\n## Two *it* _em_ a_b_c", "x &nbsp;&nbsp; y &lt;b&gt;", "5 * 3 # 4 & 5",
+        "_é_ é_x_é &copy;", "&amp;amp; **", "*a* *b\nc* ***d***", "###### six\n####### seven", " \t\u00a0 ",
+    ]
+    path = str(tmp_path / "documents.parquet")
+    rows = [(i, text) for i, text in enumerate(texts)]
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rest = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns if c not in ("doc_id", "text")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").select("*", *rest).select(table.columns)
+    marked = table.where("doc_id > 100")
+    own.unionByName(marked).write.parquet(path)
+    got = {r["id"]: r["cleaned"] for r in registry.QUERIES["F01_clean_ocr_documents"](spark, str(tmp_path)).collect()}
+    want = rows + [(r["doc_id"], r["text"]) for r in marked.collect()]
+    assert got == {i: plain_clean_ocr_text(text) for i, text in want}
+
+
+def test_token_similarity_of_every_payer(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    clean = {r["id"]: r["true_clean"] for r in tables.payers.collect()}
+    got = {r["id"]: r["similarity"] for r in registry.QUERIES["F23_token_similarity_all"](spark, tables.folder).collect()}
+    some = {r["id"]: r["similarity"] for r in registry.QUERIES["F23_token_similarity"](spark, tables.folder).collect()}
+    assert None in clean.values() and got == {i: some[i] if name is not None else 0.0 for i, name in clean.items()}
