@@ -10,11 +10,13 @@ add up).  A logistic function of the three is its score.
 
 Labels are used of rows with ``crc32(doc_id as text) mod 3`` other than 1: those with 0 train the
 models, those with 2 the logistic function, so it sees figures of texts the models have
-not seen.  The sample is bounded: the ``model_rows`` and ``fit_rows`` labelled rows that come first in the order of
-a hash.  Labels, language, source and id are not part of any figure.
+not seen.  The sample is bounded class by class: the ``model_rows`` and ``fit_rows`` labelled rows of each class that come
+first in the order of a hash, so a rare class is not crowded out.  Where that thins one class more than the other, the
+constant of the logistic function is set back to the share the classes have among all labels.  Labels, language, source and
+id are not part of any figure.
 
 Defined cases: a null or empty text has figures of 0 and the score these give.  An id with several labels
-counts as toxic if one of them is.  If the sample lacks a class nothing can be learned and all scores
+counts as toxic if one of them is.  If the labels of a part lack a class nothing can be learned and all scores
 are 0.  A null id is held in (its remainder is taken as 0) and has no label.
 """
 
@@ -42,20 +44,23 @@ def part_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(0))
 
 
-def sample(labels: DataFrame, id_col: str, label_col: str, part: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids and classes of at most ``most`` labelled rows of one part."""
+def sample(labels: DataFrame, id_col: str, label_col: str, part: int, most: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted ids and classes of at most ``most`` labelled rows of each class of one part, and the logarithm by which the
+    odds of the toxic class are smaller among all labels of the part."""
     own = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (part_of(F.col("doc_id")) == part))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id")
-        .limit(most)
-        .toArrow()
     )
-    ids, classes = own.column("doc_id").to_numpy(), own.column("toxic").to_numpy()
+    first = [own.where(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(most) for c in (0, 1)]
+    rows = first[0].unionByName(first[1]).toArrow()
+    ids, classes = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
     order = np.argsort(ids)
-    return ids[order], classes[order]
+    thinned = [0.0, 0.0]
+    for c, n in own.groupBy("toxic").count().collect():
+        thinned[c] = float(np.log(n / min(n, most)))
+    return ids[order], classes[order], thinned[0] - thinned[1]
 
 
 def look_up(ids: np.ndarray, classes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -189,7 +194,7 @@ def fitted(
     """The classifier of a corpus and its labels."""
     nothing = Classifier(None, None, None, None)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids, classes = sample(labels, id_col, label_col, 0, model_rows)
+    ids, classes, _ = sample(labels, id_col, label_col, 0, model_rows)
     if len(set(classes.tolist())) < 2:
         return nothing
     counts = count_grams(rows, ids, classes)
@@ -205,11 +210,20 @@ def fitted(
             own[kind].insert(0, level(codes, n, k))
             codes, n = suffixes(codes, k)
     ratio = Ratio(shared, own["toxic"], own["ordinary"])
-    seen, wanted = measured(rows, ratio, *sample(labels, id_col, label_col, 2, fit_rows))
+    ids, classes, rarer = sample(labels, id_col, label_col, 2, fit_rows)
+    seen, wanted = measured(rows, ratio, ids, classes)
     if len(set(wanted.tolist())) < 2:
         return nothing
     mean, scale = seen.mean(axis=0), np.maximum(seen.std(axis=0), 1e-9)
-    return Classifier(ratio, logistic((seen - mean) / scale, wanted), mean, scale)
+    x = (seen - mean) / scale
+    if rarer:
+        # a penalty that grows with the rows would keep all scores near the sample's share, and none of a rare class
+        # could outweigh the shift
+        weights = logistic(x, wanted, 0.01 / len(x))
+        weights[0] -= rarer
+    else:
+        weights = logistic(x, wanted)
+    return Classifier(ratio, weights, mean, scale)
 
 
 def scored(df: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -351,6 +352,23 @@ def test_toxicity_edges(spark, documents):
     assert toxicity.scored(documents([]), toxicity.fitted(documents([]), labels)).count() == 0
 
 
+def test_rare_toxic_labels_are_learned_from(spark, documents):
+    r = random.Random(12)
+    say = lambda words: " ".join(r.choices(words, k=12))
+    rows = [(i, say(["nice", "calm", "word", "number", "here", "table", "green", "apple"])) for i in range(6000)]
+    rows += [(6000 + i, say(["awful", "fool", "stupid", "idiot", "you"])) for i in range(60)]
+    df = documents(rows)
+    labels = spark.createDataFrame([(i, int(i >= 6000)) for i, _ in rows], "doc_id long, toxic int")
+    ids, classes, rarer = toxicity.sample(labels, "doc_id", "toxic", 0, 50)
+    toxic = [i for i in range(6000, 6060) if zlib.crc32(str(i).encode()) % 3 == 0]
+    ordinary = sum(zlib.crc32(str(i).encode()) % 3 == 0 for i in range(6000))
+    assert ids[classes == 1].tolist() == toxic and (classes == 0).sum() == 50
+    assert rarer == pytest.approx(math.log(ordinary / 50))
+    scores = by_id(toxicity.scored(df, toxicity.fitted(df, labels, model_rows=50, fit_rows=50)))
+    assert min(scores[i]["score"] for i in range(6000, 6060)) > max(scores[i]["score"] for i in range(6000))
+    assert np.mean([scores[i]["predicted"] for i in range(6000, 6060)]) > 0.7
+
+
 def test_held_out_rows_do_not_matter(spark):
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
