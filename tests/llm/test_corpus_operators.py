@@ -187,6 +187,15 @@ def test_families_joined_by_one_bridge(documents):
     assert classes_of(near_duplicates.classes(documents(rows))) == want
 
 
+def test_linked_nodes_still_meet_the_other_parts_of_their_buckets(spark):
+    # b is linked to a in bucket 1; bucket 2 holds b beside c, bucket 3 one part only
+    rows = [(1, b"a", b"a"), (1, b"b", b"a"), (2, b"b", b"a"), (2, b"c", b"c"), (2, b"d", b"c"), (3, b"c", b"c"), (3, b"d", b"c")]
+    grouped = near_duplicates.several_parts(spark.createDataFrame(rows, "bucket long, node binary, part binary"))
+    assert sorted((r["bucket"], bytes(r["node"])) for r in grouped.collect()) == [(2, b"b"), (2, b"c"), (2, b"d")]
+    heads = near_duplicates.bucket_heads(grouped, 1).collect()
+    assert {bytes(r["part"]) for r in heads} == {b"a", b"c"} and b"b" in {bytes(r["node"]) for r in heads}
+
+
 def test_near_copies_leave(documents):
     text = " ".join(map(str, range(50)))
     rows = [(4, text + " end"), (2, text), (2, text), (7, "other words stand here, quite alone"), (8, None), (9, ""), (1, text.upper())]
