@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliary.llm import (
+    alignment,
     byte_bpe,
     exact_duplicates,
     licences,
     mixing,
     near_duplicates,
     packing,
+    periodic_runs,
     perplexity,
+    sharding,
     token_counts,
     toxicity,
     url_rules,
@@ -25,6 +28,7 @@ from foliary.session import prepare
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 URL_RULES = [
     ("net", "/", "block"),
@@ -91,6 +95,19 @@ def op10_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates.groups(table(spark, folder, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    names = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, public_tokenizers.path(PIECES)
+    return alignment.summaries(table(spark, folder, "documents"), *names)
+
+
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.summaries(table(spark, folder, "documents"), change=periodic_runs.planted)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(prepare(spark), folder)
 
@@ -108,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_source_mix,
         op10_exact_duplicates,
+        op11_cross_tokenizer_alignment,
+        op12_sharding,
+        op13_periodic_runs,
         pipeline,
     )
 }
