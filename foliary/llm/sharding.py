@@ -36,7 +36,7 @@ from foliary.session import cut_lineage
 ROUNDS = 12
 QUOTA = 0.98  # of an equal share, for linked documents: what chance adds still fits
 TOLERANCE = 0.0005
-LINKED_REPAIR = 0.01  # excess, as a part of the share, for which linked documents may move
+LINKED_REPAIR = 0.002  # excess, as a part of the share, for which linked documents may move
 REPAIRS = 6
 CELL_ROWS = 20_000
 
