@@ -15,7 +15,7 @@ move, or after ``rounds``.
 
 Documents without links then fill the shards to equal size: in the order of a hash each takes its
 place on the line of what the shards lack.  Repairs follow while a shard is off by more than ``TOLERANCE`` of its share:
-documents of over-full shards, unlinked ones first and none larger than the excess, move on to shards that lack
+documents of over-full shards, unlinked ones first and none larger than twice the excess, move on to shards that lack
 bytes; linked ones only for an excess beyond ``LINKED_REPAIR``.
 
 Only votes per hub, and sums per shard (numbers in the driver), are gathered.  Running sums and slots are numbered
@@ -117,8 +117,8 @@ def repaired(placed: DataFrame, shards: int, share: float, cells: int) -> DataFr
         # unlinked rows come first, and small repairs take no others
         order = (F.col("linked").cast("int") + uniform("tag", 200 + turn)) / 2
         free = ~F.col("linked") | (over > LINKED_REPAIR * share)
-        offered = placed.where(free & (F.col("size") <= over)).withColumn("order", order)
-        leaving = running(offered, ["shard"], "order", "size", cells).where(F.col("ahead") + F.col("size") <= over)
+        offered = placed.where(free & (F.col("size") <= 2 * over)).withColumn("order", order)
+        leaving = running(offered, ["shard"], "order", "size", cells).where(F.col("ahead") + F.col("size") / 2 <= over)
         leaving = leaving.withColumn("line", F.lit(0)).select("tag", "size", "order", "line")
         on_line = running(leaving, ["line"], "order", "size", cells)
         to = place_on_line(F.col("ahead") + F.col("size") / 2, [-e for e in excess])
