@@ -6,10 +6,10 @@ tokens and those of B's are dictionaries from end to index; the sorted keys they
 groups, and in each slice the tokens that end together are linked (one of each side, since no
 token is empty).
 
-Texts repeat their words, and both tokenizers end a token before a space that follows a
-character which is not white space: A's pattern has no match across that place, and no piece of B has a space behind another
-character (checked when the model is loaded).  So that place is a common end, the groups of a text are those of
-its words one after the other, and each word is aligned once and remembered.
+Texts repeat their words, so they are aligned in parts that are remembered.  A part ends where a match of A's
+splitting pattern ends, hence one of its tokens does, unless the two characters there stand side by side in
+some piece of B: if they do not, no token of B covers both.  So the end of a part is a common end, and the groups of a
+text are those of its parts one after the other.
 
 How often a pair of ids is linked is counted over the corpus.  Texts are gathered in blocks of
 ``BLOCK`` bytes; a block adds its pairs up, so a frequent pair is one row per block.  The corpus counts come back to a block
@@ -23,9 +23,9 @@ table gives an empty one; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,92 +37,124 @@ from foliary.llm import byte_bpe
 from foliary.llm.common import byte_texts, slices, stored
 
 SPACE = "▁"
-KNOWN_WORDS = 150_000
-LONG_WORD = 64
+LINE_BREAK = "\n"
+KNOWN_PARTS = 150_000
+LONG_PART = 64
+MISSING = ("missing",)
 BLOCK = 4 << 20
-CUT = re.compile(r"(?<=\S)(?= )")
 B_BITS = 32
 Group = tuple[list[int], list[int]]
 
 
-def words_with_space(text: str) -> list[str]:
-    """A text that begins with a space, cut before each space that follows no white space."""
-    if any(d in text for d in (byte_bpe.DOUBTFUL_ASCII if text.isascii() else byte_bpe.DOUBTFUL)):
-        return CUT.split(text)
-    return [" " + word for word in text[1:].split(" ")]
-
-
 def aligned(a_ids: list[int], a_sizes: list[int], b_ids: list[int], b_sizes: list[int]) -> list[Group]:
     """The groups of two id lists over the same bytes; the last ids of a group are linked."""
-    a_ends = {end: i + 1 for i, end in enumerate(accumulate(a_sizes))}
-    b_ends = {end: i + 1 for i, end in enumerate(accumulate(b_sizes))}
+    a_ends = dict(zip(accumulate(a_sizes), range(1, len(a_ids) + 1)))
+    b_ends = dict(zip(accumulate(b_sizes), range(1, len(b_ids) + 1)))
     groups, a, b = [], 0, 0
-    for end in sorted(a_ends.keys() & b_ends.keys()):
-        groups.append((a_ids[a : a_ends[end]], b_ids[b : b_ends[end]]))
-        a, b = a_ends[end], b_ends[end]
+    for end in sorted(a_ends.keys() & b_ends):
+        i, j = a_ends[end], b_ends[end]
+        groups.append((a_ids[a:i], b_ids[b:j]))
+        a, b = i, j
     return groups
 
 
 class PieceModel:
-    """The sentence-piece model: ids and bytes of a word that begins with a space."""
+    """The sentence-piece model: ids and bytes of a part of a text, and where no token of it can end."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(n)]
-        if any(SPACE in p.lstrip(SPACE) for p in pieces) or self.model.decode(self.model.encode("a  b ")) != "a  b ":
-            raise ValueError(f"{path} joins words or changes white space")
-        self.bytes = [
-            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
-        ]
+        ids = range(self.model.get_piece_size())
+        pieces = [self.model.id_to_piece(i) for i in ids]
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in zip(ids, pieces)]
+        plain = [p.replace(SPACE, " ") for i, p in zip(ids, pieces) if not (self.model.is_byte(i) or self.model.is_control(i))]
+        # pairs of characters that a token may cover; a space is also what stands for it
+        self.joined = {x + y for p in plain for x, y in zip(p, p[1:])}
+        self.joined |= {pair.replace(" ", SPACE) for pair in self.joined}
         self.space = self.model.piece_to_id(SPACE)
+        # a line break is a byte that joins nothing: what follows it is encoded without the model's own space
+        self.lead = self.model.encode(LINE_BREAK)
+        if any(LINE_BREAK in p for p in plain) or len(self.lead) != 2 or self.model.decode(self.model.encode("a  b ")) != "a  b ":
+            raise ValueError(f"{path} changes white space or joins line breaks")
+
+    def __call__(self, part: str) -> list[int]:
+        if part[0] == " ":
+            # the model puts a space before any text that is not empty
+            return self.model.encode(part[1:]) if len(part) > 1 else [self.space]
+        return self.model.encode(LINE_BREAK + part)[2:]
 
-    def __call__(self, word: str) -> list[int]:
-        # the model puts a space before any text that is not empty
-        return self.model.encode(word[1:]) if len(word) > 1 else [self.space]
+
+Part = str | tuple[str, ...]  # a match of A's pattern, or several that B may join
 
 
 class Aligner:
-    """Groups of words that begin with a space; None where the tokens do not give the bytes again."""
+    """Groups of the parts of a text; None where the tokens do not give the bytes again."""
 
     def __init__(self, vocabulary: str, pattern: str, model: str):
         encode = byte_bpe.encoder(vocabulary, pattern)
         self.matches, self.ids_of = encode.matches, encode.encode
         self.a_bytes = byte_bpe.token_bytes(vocabulary)
+        self.a_sizes = list(map(len, self.a_bytes))
         self.piece_model = PieceModel(model)
-        self.known: dict[str, tuple | None] = {}
-
-    def groups(self, word: str) -> list[Group] | None:
-        raw = word.encode()
-        a = list(chain.from_iterable(map(self.ids_of, self.matches(word))))
-        b = self.piece_model(word)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.piece_model.bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
+        self.b_sizes = list(map(len, self.piece_model.bytes))
+        self.known: dict[Part, tuple | None] = {}
+        self.older: dict[Part, tuple | None] = {}
+
+    def parts(self, text: str) -> list[Part]:
+        """Space + text in parts."""
+        matches, joined = self.matches(" " + text), self.piece_model.joined
+        inner = [x[-1] + y[0] in joined for x, y in pairwise(matches)]
+        if True not in inner:
+            return matches
+        out, several = [], [matches[0]]
+        for match, within in zip(matches[1:], inner):
+            if not within:
+                out.append(several[0] if len(several) == 1 else tuple(several))
+                several = []
+            several.append(match)
+        return [*out, several[0] if len(several) == 1 else tuple(several)]
+
+    def groups(self, part: Part) -> list[Group] | None:
+        if isinstance(part, str):
+            a, whole = self.ids_of(part), part
+        else:
+            a, whole = list(chain.from_iterable(map(self.ids_of, part))), "".join(part)
+        b, raw = self.piece_model(whole), whole.encode()
+        if b"".join([self.piece_model.bytes[i] for i in b]) != raw or b"".join([self.a_bytes[i] for i in a]) != raw:
             return None
-        return aligned(a, list(map(len, a_parts)), b, list(map(len, b_parts)))
-
-    def look_up(self, words: list[str], made: Callable) -> list:
-        """``made(groups)`` of each word (None for no groups), remembered."""
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
-            new = set(words)
-        for word in new:
-            groups = self.groups(word)
-            self.known[word] = None if groups is None else made(groups)
-        out = list(map(self.known.__getitem__, words))
-        for word in new:
-            if len(word) > LONG_WORD:
-                del self.known[word]
+        return aligned(a, [self.a_sizes[i] for i in a], b, [self.b_sizes[i] for i in b])
+
+    def look_up(self, parts: list[Part], made: Callable) -> list:
+        """``made(groups)`` of each part (None for no groups).
+
+        Parts used lately are remembered: a full memory becomes the older one, and what is asked for again moves back."""
+        new = set(parts).difference(self.known)
+        if len(self.known) + len(new) > KNOWN_PARTS:
+            self.older, self.known = self.known, {}
+            new = set(parts)
+        for part in new:
+            found = self.older.get(part, MISSING)
+            if found is MISSING:
+                groups = self.groups(part)
+                found = None if groups is None else made(groups)
+            self.known[part] = found
+        out = list(map(self.known.__getitem__, parts))
+        for part in new:
+            if len(part) > LONG_PART:
+                del self.known[part]
         return out
 
 
-def _digest_parts(groups: list[Group]) -> tuple[int, int, int, bytes, list[int]]:
-    listed = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-    links = [(a[-1] << B_BITS) | b[-1] for a, b in groups]
-    return sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), listed.encode(), links
+def _listed(ids: list[int]) -> str:
+    return str(ids[0]) if len(ids) == 1 else ",".join(map(str, ids))
+
+
+def _digest_parts(groups: list[Group]) -> tuple[int, int, int, bytes, bytes]:
+    """Numbers of ids and groups, the groups as text, and the links as 64-bit numbers."""
+    listed = ";".join([f"{_listed(a)}|{_listed(b)}" for a, b in groups]).encode()
+    links = array("q", [(a[-1] << B_BITS) | b[-1] for a, b in groups]).tobytes()
+    return sum([len(a) for a, _ in groups]), sum([len(b) for _, b in groups]), len(groups), listed, links
 
 
 def groups_of_texts(
@@ -136,8 +168,8 @@ def groups_of_texts(
             for part in slices(batch, 1):
                 out = []
                 for raw in byte_texts(part.column(1)):
-                    words = align.look_up(words_with_space(" " + raw.decode("utf-8", "replace")), list) if raw else []
-                    whole = [] if None in words else list(chain.from_iterable(words))
+                    parts = align.look_up(align.parts(raw.decode("utf-8", "replace")), list) if raw else []
+                    whole = [] if None in parts else list(chain.from_iterable(parts))
                     ends = accumulate(sum(len(align.a_bytes[i]) for i in a) for a, _ in whole)
                     out.append([{"a": a, "b": b, "end": end} for (a, b), end in zip(whole, ends)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["doc_id", "groups"])
@@ -179,16 +211,16 @@ def _gathered(df: DataFrame, vocabulary: str, pattern: str, model: str, id_col:
                 rows, pairs, counts = [], [], []
                 for raw in byte_texts(part.column(1)):
                     filled += len(raw)
-                    words = align.look_up(words_with_space(" " + raw.decode("utf-8", "replace")), _digest_parts) if raw else []
-                    if None in words:
-                        words = []
-                    a, b, n, listed, links = zip(*words) if words else ((),) * 5
-                    found, times = np.unique(np.fromiter(chain.from_iterable(links), np.int64), return_counts=True)
-                    digest = hashlib.sha256(b";".join(listed)).hexdigest() if words else ""
+                    found = align.look_up(align.parts(raw.decode("utf-8", "replace")), _digest_parts) if raw else []
+                    if None in found:
+                        found = []
+                    a, b, n, listed, links = zip(*found) if found else ((),) * 5
+                    linked, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+                    digest = hashlib.sha256(b";".join(listed)).hexdigest() if found else ""
                     rows.append((sum(a), sum(b), sum(n), int(times.sum()), digest))
-                    pairs.append(found)
+                    pairs.append(linked)
                     counts.append(times)
-                    for pair, k in zip(found.tolist(), times.tolist()):
+                    for pair, k in zip(linked.tolist(), times.tolist()):
                         total[pair] = total.get(pair, 0) + k
                 columns = [pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows))]
                 own = [pa.array([block] * len(rows)), pa.array([False] * len(rows))]
