@@ -53,6 +53,7 @@ def load_all() -> None:
     from foliary.plans import (  # noqa: F401
         catalog_queries,
         entity_queries,
+        index_queries,
         report_queries,
         search_queries,
         stream_queries,
