@@ -27,6 +27,7 @@ from foliary.operators import search as s
 
 BLOCK_IDS = 4096
 FIRST_BLOCKS = 16
+DIGITS = 10  # scores that agree so far are equal
 
 
 def block_of(id_col: str | Column = "id", ids: int = BLOCK_IDS) -> Column:
@@ -80,8 +81,12 @@ def promising(index: DataFrame, lexemes: Sequence[str], first_blocks: int = FIRS
 def remaining(index: DataFrame, lexemes: Sequence[str], first: list[int], threshold: float | None, share: float = 1.0) -> DataFrame:
     """The other blocks whose bound, times ``share``, reaches the threshold (all of them without one)."""
     rest = bounded_blocks(index, lexemes).where(~F.col("block").isin(first) if first else F.lit(True))
-    # a bound is rounded as scores are, but in another order of operations
-    return rest if threshold is None else rest.where(F.col("bound") * share >= threshold - 1e-12)
+    return rest if threshold is None else rest.where(F.col("bound") * share >= threshold - 10.0**-DIGITS)
+
+
+def _falling(column: str) -> Column:
+    """Equal scores may differ in their last bits, by the order in which covers were added up."""
+    return F.round(column, DIGITS).desc()
 
 
 def _kth(scores: DataFrame, column: str, k: int) -> float | None:
@@ -100,7 +105,7 @@ def top_documents(index: DataFrame, lexemes: Sequence[str], k: int, allowed: Dat
     first = promising(index, lexemes, first_blocks)
     ranked = scored(first)
     rest = remaining(index, lexemes, first, _kth(ranked, "text_relevance", k))
-    return ranked.unionByName(scored(rest)).orderBy(F.desc("text_relevance"), "id").limit(k)
+    return ranked.unionByName(scored(rest)).orderBy(_falling("text_relevance"), "id").limit(k)
 
 
 def hybrid_page(
@@ -141,7 +146,7 @@ def hybrid_page(
     scores = near_scores.unionByName(text_only(first))
     rest = remaining(index, lexemes, first, _kth(scores.where("relevance > 0"), "relevance", wanted), fv.TEXT_WEIGHT)
     every = scores.unionByName(text_only(rest)).where("relevance > 0")
-    best = every.orderBy(F.desc("relevance"), "id").limit(wanted)
+    best = every.orderBy(_falling("relevance"), "id").limit(wanted)
     shown = [c for c in s.filters.SEARCH_COLUMNS if c in catalog.columns]
-    page = s.page_of(s.with_scores(matching.select(*shown), best), F.col("relevance").desc(), request.page, request.per_page)
+    page = s.page_of(s.with_scores(matching.select(*shown), best), _falling("relevance"), request.page, request.per_page)
     return s.normalise_page(page)

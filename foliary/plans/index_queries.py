@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from foliary.operators import block_postings as bp
 from foliary.operators import deep_pages as dp
+from foliary.operators import deltas as dl
 from foliary.operators import filters as f
 from foliary.operators import search as s
 from foliary.operators import trigrams as tg
 from foliary.operators import vector_index as vi
 from foliary.plans.catalog_queries import _DONE, _NEWEST, _PATH, _REVIEW, _STORED
 from foliary.plans.registry import query
-from foliary.plans.search_queries import COLUMNS, _MATCHES, _WORDS, _hits, _near, _page_sql, _rank, _request, _round, request_vector
+from foliary.plans.search_queries import COLUMNS, _MATCHES, _STOPS, _TOKENS, _WORDS, _hits, _near, _page_sql, _rank, _request, _round, request_vector
 from foliary.session import new_folder
 
 # --- vectors ---------------------------------------------------------------
@@ -197,3 +198,86 @@ def page_after_key(t):
     catalog = t.catalog("id", "filename", "file_size")
     last = dp.deep_page(catalog, "file_size", 10, 15, ranges=8).orderBy(F.desc("place")).select("file_size", "id").first()
     return dp.page_after(catalog, "file_size", (last["file_size"], last["id"]), 15)
+
+
+# --- upkeep by changes -----------------------------------------------------
+
+# one document of seven gets other words, a failure and no mappings; one of eleven of the others goes
+_CHANGED = (
+    "changed AS (SELECT id, filename, CASE WHEN id%7=0 THEN concat('fresh words ', coalesce(extracted_text, '')) ELSE extracted_text END AS extracted_text, "
+    "CASE WHEN id%7=0 THEN 'FAILED' ELSE status END AS status FROM catalog WHERE id%7=0 OR id%11<>0)"
+)
+
+
+def _postings_view(df):
+    return s.postings(df, stem=False)
+
+
+def _links_view(taxonomy):
+    def view(df):
+        names = df.select(F.col("id").alias("document_id"), F.explode("keywords.keyword_mappings.mapped_canonical_term").alias("term"))
+        terms = taxonomy.select("term", F.col("id").alias("taxonomy_term_id"))
+        return names.distinct().join(terms, "term").select("document_id", "taxonomy_term_id")
+
+    return view
+
+
+def _after_changes(t, table_of, view, *columns):
+    """A derived table after a first load and one batch of changes."""
+    catalog = t.catalog("id", *columns)
+    documents = dl.CatalogTable(new_folder(t.spark, "catalog"), 16)
+    table = table_of(new_folder(t.spark, "derived"))
+    dl.update(t.spark, documents, [(table, view)], 0, catalog)
+    other = {
+        "extracted_text": F.concat(F.lit("fresh words "), F.coalesce("extracted_text", F.lit(""))) if "extracted_text" in columns else None,
+        "status": F.lit("FAILED") if "status" in columns else None,
+        "keywords": F.lit(None).cast(catalog.schema["keywords"].dataType) if "keywords" in columns else None,
+    }
+    upserts = catalog.where("id % 7 = 0").withColumns({n: c for n, c in other.items() if c is not None})
+    deleted = catalog.where("id % 11 = 0 AND id % 7 <> 0").select("id")
+    for _ in range(2):  # a repeated batch changes nothing
+        dl.update(t.spark, documents, [(table, view)], 1, upserts, deleted)
+    return table.current(t.spark)
+
+
+@query(
+    "M02_incremental_postings",
+    f"WITH {_CHANGED} SELECT id, lexeme, pos FROM ({_TOKENS.replace('FROM catalog', 'FROM changed')}) WHERE lexeme NOT IN ({_STOPS})",
+)
+def incremental_postings(t):
+    def table(path):
+        return dl.SignedTable(path, ("lexeme", "id", "pos"), "lexeme", 16)
+
+    return _after_changes(t, table, _postings_view, "filename", "extracted_text").select("id", "lexeme", "pos")
+
+
+@query(
+    "J04_incremental_links",
+    f"SELECT DISTINCT m.id AS document_id, t.id AS taxonomy_term_id FROM {_STORED} m JOIN taxonomy t ON t.term=m.mapped_canonical_term WHERE m.id%7<>0 AND m.id%11<>0",
+)
+def incremental_links(t):
+    def table(path):
+        return dl.SignedTable(path, ("document_id", "taxonomy_term_id"), "document_id", 16)
+
+    return _after_changes(t, table, _links_view(t.taxonomy), "keywords").select("document_id", "taxonomy_term_id")
+
+
+@query(
+    "A21_incremental_facets",
+    f"""SELECT taxonomy_term_id, count(*) AS n FROM (SELECT DISTINCT m.id, t.id AS taxonomy_term_id FROM {_STORED} m JOIN taxonomy t ON t.term=m.mapped_canonical_term
+    WHERE m.id%7<>0 AND m.id%11<>0) GROUP BY 1""",
+)
+def incremental_facets(t):
+    def table(path):
+        return dl.SignedTable(path, ("taxonomy_term_id",), "taxonomy_term_id", 16)
+
+    links = _links_view(t.taxonomy)
+    return _after_changes(t, table, lambda df: links(df).select("taxonomy_term_id"), "keywords")
+
+
+@query("A08_incremental_status_counts", f"WITH {_CHANGED} SELECT status, count(*) AS n FROM changed GROUP BY 1")
+def incremental_status_counts(t):
+    def table(path):
+        return dl.SignedTable(path, ("status",), "status", 4)
+
+    return _after_changes(t, table, lambda df: df.select("status"), "status")
