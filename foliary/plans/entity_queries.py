@@ -464,24 +464,16 @@ def exact_duplicates(t: Tables):
 _PAYER_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(raw, concat(' ', chr(10)))),'^the\\s+',''),'[^\\w\\s]','','g'),'\\s+',' ','g'))"
 
 
-@query(
-    "F23_token_similarity",
-    f"""WITH a AS (SELECT id, list_distinct(string_split({_PAYER_NORM}, ' ')) AS x, list_distinct(string_split(lower(true_clean), ' ')) AS y FROM payers WHERE true_clean IS NOT NULL)
-    SELECT id, round(CAST(len(list_intersect(x,y)) AS DOUBLE)/len(list_distinct(x || y)), 6) AS similarity FROM a""",
-)
-def token_similarity(t: Tables):
-    return _similarities(t.payers.filter("true_clean IS NOT NULL"))
+_SIMILARITIES = f"""WITH a AS (SELECT id, list_distinct(string_split({_PAYER_NORM}, ' ')) AS x, list_distinct(string_split(lower(true_clean), ' ')) AS y FROM payers)
+    SELECT id, coalesce(round(CAST(len(list_intersect(x,y)) AS DOUBLE)/len(list_distinct(x || y)), 6), 0) AS similarity FROM a"""
 
 
-def _similarities(payers):
+# all payers: one without a clean name is similar to nothing
+@query("F23_token_similarity", _SIMILARITIES)
+@query("F23_token_similarity_all", _SIMILARITIES)
+def token_similarity(t: Tables):
     a, b = nm.comparison_form(F.col("raw")), F.lower("true_clean")
-    return payers.select("id", F.round(nm.token_jaccard(a, b), 6).alias("similarity"))
-
-
-# all payers, those without a clean name too, which the check SQL leaves out
-@query("F23_token_similarity_all")
-def token_similarity_all(t: Tables):
-    return _similarities(t.payers)
+    return t.payers.select("id", F.round(nm.token_jaccard(a, b), 6).alias("similarity"))
 
 
 @query(
@@ -529,15 +521,27 @@ def top_canonical(t: Tables):
     )
 
 
+def _cleaned_sql(text: str) -> str:
+    """The steps of the clean-up one after the other.  RE2 has no look-around: the neighbours of a marked word are
+    matched and put back, twice, because one neighbour may serve two words."""
+    for entity, value in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{entity}', {value})"
+    around = r"'(?s)(^|[^\p{L}\p{N}_])_(.+?)_($|[^\p{L}\p{N}_])', '\1\2\3', 'g'"
+    steps = [r"'(?s)\*\*(.+?)\*\*', '\1', 'g'", r"'(?s)__(.+?)__', '\1', 'g'", r"'(?s)\*(.+?)\*', '\1', 'g'", around, around]
+    steps += [r"'(?m)^#{1,6}\s+', '', 'g'", "'[ \\t\u00a0]{2,}', ' ', 'g'"]
+    for step in steps:
+        text = f"regexp_replace({text}, {step})"
+    return f"trim({text}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160)))"
+
+
 @query(
     "F01_clean_ocr_text",
-    """SELECT doc_id AS id, trim(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), concat(' ', chr(9), chr(10), chr(13))) AS cleaned FROM documents WHERE NOT regexp_matches(text, '[*_#&]')
+    f"""SELECT doc_id AS id, {_cleaned_sql("text")} AS cleaned FROM documents
     UNION ALL SELECT -1 - p_partkey, concat('Head ', p_name, ' & co ', p_brand, chr(10), 'file_name_x 5 * 3') FROM part""",
 )
 def clean_ocr_text(t: Tables):
-    docs = t.documents.filter(~F.col("text").rlike("[*_#&]")).select(
-        F.col("doc_id").alias("id"), "text"
-    )
+    """All documents as they are, and texts made of part names with every kind of mark."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
     marked = F.concat(
         F.lit("# Head  **"), "p_name", F.lit("** &amp; _co_ &nbsp;&nbsp; "), F.lit("*"), "p_brand",
         F.lit("*\nfile_name_x 5 * 3  "),
@@ -546,7 +550,6 @@ def clean_ocr_text(t: Tables):
     return docs.unionByName(parts).select("id", tx.clean_ocr_text(F.col("text")).alias("cleaned"))
 
 
-# all documents, marked and null ones too; SQL has no entity decoding and no look-around
-@query("F01_clean_ocr_documents")
+@query("F01_clean_ocr_documents", f"SELECT doc_id AS id, {_cleaned_sql('text')} AS cleaned FROM documents")
 def clean_ocr_documents(t: Tables):
     return t.documents.select(F.col("doc_id").alias("id"), tx.clean_ocr_text(F.col("text")).alias("cleaned"))
