@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliary.plans.derived import Tables
 from foliary.plans.registry import query
 from foliary.session import new_folder
-from foliary.streaming import jobs
+from foliary.streaming import jobs, timers
 
 
 def _stream(t: Tables, name: str):
@@ -60,6 +60,20 @@ def _kind():
     )
 
 
+@query(
+    "T02_silent_documents_by_timer",
+    _SILENT
+    + " AND ts + INTERVAL '360' SECOND <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10' MINUTE FROM events)",
+)
+def silent_documents_by_timer(t: Tables):
+    """By state and timers instead of session windows."""
+    events = _stream(t, "events").select(
+        F.col("user_id").alias("document_id"), "ts", _kind().alias("kind")
+    )
+    rows = timers.run_silent_documents(events)
+    return rows.where("status = 'QUEUED'").select("document_id", "last_seen", "status")
+
+
 @query("T02_silent_documents_batch", _SILENT)
 def silent_documents_batch(t: Tables):
     """The same operator on the table."""
