@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliary.operators import block_postings as bp
 from foliary.operators import deep_pages as dp
 from foliary.operators import deltas as dl
+from foliary.operators import facet_bitmaps as fb
 from foliary.operators import filters as f
 from foliary.operators import search as s
 from foliary.operators import trigrams as tg
@@ -115,13 +116,13 @@ def _terms() -> dict:
 
 @query(
     "P09_indexed_term_filter",
-    f"SELECT DISTINCT c.id, c.filename FROM catalog c JOIN {_STORED} m ON m.id=c.id WHERE m.mapped_canonical_term ILIKE '%#2 small%' OR m.verbatim_term ILIKE '%#2 small%'",
+    f"SELECT DISTINCT c.id, c.filename FROM catalog c JOIN {_STORED} m ON m.id=c.id WHERE m.mapped_canonical_term ILIKE '%gizmo%' OR m.verbatim_term ILIKE '%gizmo%'",
 )
 def indexed_term_filter(t):
     catalog = t.catalog("id", "filename", "keywords")
     path = new_folder(t.spark, "trigrams")
     tg.write_trigrams(catalog, _terms(), path)
-    return tg.containing(catalog, path, _terms(), "#2 small").select("id", "filename")
+    return tg.containing(catalog, path, _terms(), "gizmo").select("id", "filename")
 
 
 @query(
@@ -281,3 +282,33 @@ def incremental_status_counts(t):
         return dl.SignedTable(path, ("status",), "status", 4)
 
     return _after_changes(t, table, lambda df: df.select("status"), "status")
+
+
+# --- facets by bitmaps -----------------------------------------------------
+
+
+@query(
+    "A21_bitmap_facets",
+    """SELECT t.primary_category, t.subcategory, t.term, count(*) AS count FROM catalog c JOIN doc_terms l ON l.document_id=c.id JOIN taxonomy t ON t.id=l.taxonomy_term_id
+    WHERE c.status='COMPLETED' AND year(c.date_created)=2021 GROUP BY ALL""",
+)
+def bitmap_facets(t):
+    """Facets of the filtered documents, without joining links to documents."""
+    path = new_folder(t.spark, "bitmaps")
+    fb.write_bitmaps(t.links(), path)
+    matching = f.exact_filters(t.catalog("id", "status", "client_canonical", "state", "date_created").where("status = 'COMPLETED'"), year=2021)
+    counts = fb.facets(t.spark.read.parquet(path), matching)
+    named = t.taxonomy.select(F.col("id").alias("taxonomy_term_id"), "primary_category", "subcategory", "term")
+    return named.join(counts, "taxonomy_term_id").select("primary_category", "subcategory", "term", "count")
+
+
+@query(
+    "A21_bitmap_facets_of_search",
+    f"""WITH {_hits(_WORDS)} SELECT taxonomy_term_id, count(*) AS count FROM ({_MATCHES}) m JOIN doc_terms l ON l.document_id=m.id GROUP BY 1""",
+)
+def bitmap_facets_of_search(t):
+    """Facets of all matches of a hybrid search."""
+    path = new_folder(t.spark, "bitmaps")
+    fb.write_bitmaps(t.links(), path)
+    matches = s.hybrid_search(t.catalog(*COLUMNS), _request()).matches
+    return fb.facets(t.spark.read.parquet(path), matches)

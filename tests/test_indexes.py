@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from foliary.functions.text import contains_term
 from foliary.operators import block_postings as bp
 from foliary.operators import deep_pages as dp
 from foliary.operators import deltas as dl
+from foliary.operators import facet_bitmaps as fb
 from foliary.operators import search as s
 from foliary.operators import trigrams as tg
 from foliary.operators import vector_index as vi
@@ -290,3 +292,22 @@ def test_work_follows_the_change(spark):
     assert "PartitionFilters" in plan and "bucket" in plan
     plan = plan_of(documents.current(spark, change))
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", plan)
+
+
+# --- facets by bitmaps -----------------------------------------------------
+
+
+def test_bitmap_facets_equal_joined_ones(spark):
+    r = random.Random(12)
+    numbers = [r.randrange(200_000) for _ in range(500)] + [0, 1, 32_767, 32_768, 32_769, 65_536]
+    links = [(d, r.randrange(9)) for d in numbers for _ in range(r.randint(0, 4))] + [(5, 1), (5, 1), (None, 2)]
+    links += [(d, 50) for d in range(1000)]
+    df = spark.createDataFrame(links, "document_id long, taxonomy_term_id long")
+    path = new_folder(spark, "bitmaps")
+    fb.write_bitmaps(df, path)
+    stored = spark.read.parquet(path)
+    for matching in ([], numbers[:3], numbers[::2], [7, 7, 999_999, None], sorted({d for d, _ in links if d is not None})):
+        ids = spark.createDataFrame([(i,) for i in matching], "id long")
+        got = {x["taxonomy_term_id"]: x["count"] for x in fb.facets(stored, ids).collect()}
+        want = Counter(t for d, t in set(links) if d is not None and d in matching)
+        assert got == dict(want)
