@@ -155,13 +155,31 @@ def keywords_data(keywords: Column, categories: Column, mappings: Column, as_of)
     )
 
 
+def merged_metadata(old: Column, new: Column) -> Column:
+    """Entries of both maps; of a key in both the new value counts.  Nothing
+    new leaves the old map, null too, as it is."""
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return (
+        F.when(F.coalesce(F.size(new), F.lit(0)) <= 0, old)
+        .when(old.isNull(), new)
+        .otherwise(F.map_concat(kept, new))
+    )
+
+
 def update_content(catalog: DataFrame, content: DataFrame, as_of) -> DataFrame:
     """New text, analysis and keywords; only non-empty inputs overwrite, and the
     search content is rebuilt where keywords changed.
 
     ``content``: id, extracted_text, ai_analysis, new_keywords, new_categories,
-    new_mappings.
+    new_mappings; with ``new_metadata`` (a map) its entries are merged into the
+    catalog's ``file_metadata``.
     """
+    if "new_metadata" in content.columns:
+        merged = F.coalesce(F.col("new_metadata"), F.create_map().cast("map<string,string>"))
+        with_new = catalog.join(content.select("id", merged.alias("new_metadata")), "id", "left")
+        catalog = with_new.withColumn(
+            "file_metadata", merged_metadata(F.col("file_metadata"), F.col("new_metadata"))
+        ).drop("new_metadata")
 
     def given(c):
         return F.coalesce(F.size(c), F.lit(0)) > 0

@@ -170,6 +170,35 @@ def content_update(t: Tables):
     )
 
 
+@query(
+    "M02_metadata_merge",
+    """SELECT c.id, CASE WHEN p.id%3=0 THEN concat('checked=', c.id, '|', CASE WHEN c.id%4<>0 THEN concat('origin=', c.status, '|') ELSE '' END, 'page_count=7')
+      WHEN c.id%4<>0 THEN concat('origin=', c.status, '|page_count=', c.id%5) END AS metadata,
+    CASE WHEN p.id%3=0 THEN 'new text' ELSE c.extracted_text END AS extracted_text
+    FROM catalog c LEFT JOIN payers p ON p.id=c.id""",
+)
+def metadata_merge(t: Tables):
+    """Entries of the update replace those of the same name; others stay."""
+    text = F.col("id").cast("string")
+    stored = F.create_map(F.lit("origin"), "status", F.lit("page_count"), (F.col("id") % 5).cast("string"))
+    catalog = u.with_stamped_keywords(
+        t.catalog("id", "status", "filename", "extracted_text", "ai_analysis", "search_content", "keywords")
+    ).withColumn("file_metadata", F.when(F.col("id") % 4 != 0, stored))
+    fresh = F.create_map(F.lit("page_count"), F.lit("7"), F.lit("checked"), text)
+    content = t.payers.select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "new text").alias("extracted_text"),
+        F.lit("").alias("ai_analysis"),
+        F.array().cast("array<string>").alias("new_keywords"),
+        F.array().cast("array<string>").alias("new_categories"),
+        F.lit(None).cast(an.MAPPINGS_TYPE).alias("new_mappings"),
+        F.when(F.col("id") % 3 == 0, fresh).alias("new_metadata"),
+    )
+    entries = F.array_sort(F.map_entries("file_metadata"))
+    listed = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return u.update_content(catalog, content, AS_OF).select("id", listed.alias("metadata"), "extracted_text")
+
+
 @query(
     "M03_reset",
     f"""SELECT c.id, CASE WHEN h THEN 'QUEUED' ELSE status END AS status, CASE WHEN NOT h THEN extracted_text END AS extracted_text, CASE WHEN NOT h THEN ai_analysis END AS ai_analysis,
