@@ -13,12 +13,22 @@ rank.  Rank bands are opened one after the other until every coordinate has its
 is one look at each shingle and band plus the darts, not shingles times coordinates.
 
 Documents that agree on all rows of a band share a bucket.  Equal word sequences are one
-node from the start.  Any two nodes of a bucket are compared exactly, unless they are known to be connected: in the
-first round all nodes meet one head of their bucket, which settles most of them; in every later one all nodes meet up to
-``LARGEST_HEADS`` heads of the bucket's largest part and up to ``HEADS``, times 4 in each round up to ``MOST_HEADS``,
-of its other parts.  A head has then met all nodes of the bucket beyond its own part and leaves it.  Connected parts are
+node from the start.  In the first ``BUCKET_ROUNDS`` rounds all nodes meet a fixed number of heads of their bucket, which
+settles most of them.  A head has then met all nodes of the bucket beyond its own part and leaves it.  Connected parts are
 found anew after each round, by alternating large and small stars; a bucket is done when one part is left in it.
 
+What is left are nodes that agree on a band and are mostly not similar.  They are dealt anew by a test that loses no
+link: with the shingles of a node in one order for all (rarest first), two nodes that have at least ``o`` shingles in common
+share one of the first ``size - o + 1`` of each.  ``o`` follows from the threshold and both sizes, so a bucket is now a shingle and
+a pair of size classes, the sizes in a class lying within ``SIZE_STEP``; only nodes of different classes meet in it if
+the classes differ.  A text that is far from all others begins with shingles of its own and meets nobody.  Heads are now the nodes
+with the fewest shingles of their own, the likeliest to be linked with what is still apart.
+
+Rounds go on until any two nodes of a bucket have been compared or are known to be connected: ``LARGEST_HEADS`` heads of the
+largest part and ``HEADS`` of the others on each side, the latter four times as many in each round after the first ``STEADY_ROUNDS``.
+A round takes rows in proportion to the members of buckets that are not settled.  Only many parts that stay apart although their
+nodes share rare shingles and sizes take more rounds, in the worst case up to the square of the nodes of such a bucket.
+
 Defined cases: a null or empty text, or one without words, is in no class but its own.  Rows that
 repeat an id are rows of their own.  ``class_id`` is the smallest id of the class; the row with it
 stays (of repeated rows, one).
@@ -29,7 +39,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +54,10 @@ from foliary.session import cut_lineage
 BANDS, ROWS = 24, 5
 BAND_MASK = 31
 LARGEST_HEADS, HEADS, MOST_HEADS = 8, 8, 256
+BUCKET_ROUNDS, STEADY_ROUNDS = 1, 4
+SIZE_STEP = 1.05
+# a member of a bucket: its shingles that no other node has, and its side (nodes of the same side do not meet, 0: all meet)
+MEMBER = ["bucket", "node", "part", "alone", "side"]
 FIRST_RANK = 1 / 64
 KNOWN_WORDS = 100_000
 SLICE = 1 << 20  # bytes of text cut into shingles at once
@@ -197,7 +211,7 @@ def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, si
                     content = xxhash.xxh3_128_digest(b" ".join(words))
                     if words and bloom.tested(pa.array([content]), bits.value, filter_bits)[0].as_py():
                         found.append(content)
-                        cells.append((shingles(hashes(words), size, counts) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                        cells.append(shingles(hashes(words), size, counts).view(np.int64))
                 if found:
                     ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
@@ -205,7 +219,7 @@ def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, si
                         names=["node", "cells"],
                     )
 
-    rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, "node binary, cells array<int>")
+    rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, "node binary, cells array<long>")
     return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -274,39 +288,71 @@ def crowded_buckets(signs: DataFrame) -> DataFrame:
 
 
 def several_parts(members: DataFrame) -> DataFrame:
-    """``members`` of the buckets that hold several parts, and whether a node is of the largest one."""
-    counts = members.groupBy("bucket", "part").count()
+    """``members`` of the buckets that hold several parts that may meet, and whether a node is of the largest one."""
+    counts = members.groupBy("bucket", "part").agg(F.count("*").alias("count"), F.min("side").alias("a"), F.max("side").alias("b"))
     largest = F.max(F.struct("count", "part"))["part"].alias("largest")
-    mixed = counts.groupBy("bucket").agg(largest, F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    return members.join(mixed, "bucket").select("bucket", "node", "part", (F.col("part") == F.col("largest")).alias("in_largest"))
+    mixed = counts.groupBy("bucket").agg(largest, F.count("*").alias("parts"), F.min("a").alias("a"), F.max("b").alias("b"))
+    mixed = mixed.where("parts > 1 AND (b = 0 OR a < b)").select("bucket", "largest")
+    return members.join(mixed, "bucket").select(*MEMBER, (F.col("part") == F.col("largest")).alias("in_largest"))
 
 
 def bucket_heads(grouped: DataFrame, turn: int) -> DataFrame:
-    """``bucket, node, part`` of the nodes that all others meet in this turn."""
+    """The members (columns as in ``MEMBER``) that all others of their bucket meet in this turn."""
+    best = F.min(F.struct("alone", "node", "part")).alias("h")
     if not turn:
-        heads = grouped.groupBy("bucket").agg(F.min(F.struct("node", "part")).alias("h"))
+        heads = grouped.groupBy("bucket", "side").agg(best)
     else:
         # a hash of the node alone: a node heads its buckets in the same turn, so its pairs are compared once
-        n = F.when(F.col("in_largest"), LARGEST_HEADS).otherwise(min(HEADS * 4 ** (turn - 1), MOST_HEADS))
-        slot = F.pmod(F.xxhash64(F.lit(turn), "node"), n).alias("slot")
-        heads = grouped.groupBy("bucket", "in_largest", slot).agg(F.min(F.struct("node", "part")).alias("h"))
-    return heads.select("bucket", "h.node", "h.part")
+        others = min(HEADS * 4 ** max(0, turn - STEADY_ROUNDS), MOST_HEADS)
+        slot = F.pmod(F.xxhash64(F.lit(turn), "node"), F.when(F.col("in_largest"), LARGEST_HEADS).otherwise(others)).alias("slot")
+        heads = grouped.groupBy("bucket", "side", "in_largest", slot).agg(best)
+    return heads.select("bucket", "side", "h.*")
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(log(SIZE_STEP)))
+
+
+def rare_buckets(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Members of buckets by the rarest shingles of the nodes (``node, part``).
+
+    Any two nodes whose similarity reaches the threshold share a bucket.  Shingles of one node only make no
+    bucket, but count among the first ones.
+    """
+    own = stored(nodes.join(sets, "node").select("node", "part", "cells"), "open-sets")
+    cells = own.select("node", F.explode("cells").alias("cell"))
+    common = cells.groupBy("cell").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = cells.join(common, "cell").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "cell"))).alias("shared"))
+    rows = own.select("node", "part", F.size("cells").alias("n")).join(ranked, "node")
+    n = F.col("n")
+    classes = F.sequence(F.greatest(F.lit(0), size_class(threshold * n - 1e-6)), size_class(n / threshold + 1e-6))
+    rows = rows.select("*", size_class(n).alias("own_class"), F.explode(classes).alias("other"))
+    least = F.ceil(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6)
+    overlap = F.ceil(threshold / (1 + threshold) * (n + least) - 1e-6)
+    first = F.size("shared") - overlap + 1
+    side = F.when(F.col("own_class") == F.col("other"), 0).when(F.col("own_class") < F.col("other"), 1).otherwise(2)
+    ends = F.least("own_class", "other"), F.greatest("own_class", "other")
+    keys = F.transform(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first).cast("int")), lambda x: F.xxhash64(x["cell"], *ends))
+    return rows.select(F.explode(keys).alias("bucket"), "node", "part", (n - F.size("shared")).alias("alone"), side.alias("side"))
 
 
 def linked_parts(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, size: int, counts: bool, threshold: float) -> DataFrame:
     """``node, root`` of all nodes with links."""
-    members = stored(crowded_buckets(signs), "buckets").select("bucket", "node", F.col("node").alias("part"))
+    members = stored(crowded_buckets(signs), "buckets").select("bucket", "node", F.col("node").alias("part"), F.lit(0).alias("alone"), F.lit(0).alias("side"))
     links = df.sparkSession.createDataFrame([], "node binary, first binary")
-    sets = None
-    turn = 0
+    sets, turn, rounds = None, 0, 0
     while True:
         grouped = stored(several_parts(members), "bucket-members")
-        release(df)
         if grouped.isEmpty():
             return components(links)
+        if rounds == BUCKET_ROUNDS:
+            members = rare_buckets(grouped.select("node", "part").distinct(), sets, threshold)
+            grouped, turn = stored(several_parts(members), "rare-members"), 0
+            if grouped.isEmpty():
+                return components(links)
         heads = cut_lineage(bucket_heads(grouped, turn))
-        met = heads.select("bucket", F.col("node").alias("first"), F.col("part").alias("first_part"))
-        faced = grouped.join(met, "bucket").where("part <> first_part")
+        met = heads.select("bucket", F.col("node").alias("first"), F.col("part").alias("first_part"), F.col("side").alias("first_side"))
+        faced = grouped.join(met, "bucket").where("part <> first_part AND (side = 0 OR side <> first_side)")
         # a pair has one form, whichever of the two is the head and in whatever bucket they meet
         turned = F.col("node") > F.col("first")
         ends = [("node", "first"), ("first", "node"), ("part", "first_part"), ("first_part", "part")]
@@ -318,12 +364,12 @@ def linked_parts(df: DataFrame, signs: DataFrame, id_col: str, text_col: str, si
         linked = cut_lineage(similar(pairs, sets, threshold))
         links = links.unionByName(linked.select("node", "first"))
         release(df)
-        turn += 1
+        turn, rounds = turn + 1, rounds + 1
         # parts are named by their smallest node, so those that are joined keep that name
         merged = components(linked.select(F.col("part").alias("node"), F.col("first_part").alias("first")))
         left = grouped.join(heads.select("bucket", "node"), ["bucket", "node"], "left_anti")
         left = left.join(merged.withColumnRenamed("node", "part"), "part", "left")
-        members = left.select("bucket", "node", F.coalesce("root", "part").alias("part"))
+        members = left.select("bucket", "node", F.coalesce("root", "part").alias("part"), "alone", "side")
 
 
 def _classes(

@@ -190,12 +190,60 @@ def test_families_joined_by_one_bridge(documents):
 def test_linked_nodes_still_meet_the_other_parts_of_their_buckets(spark):
     # b is linked to a in bucket 1; bucket 2 holds b beside c, bucket 3 one part only
     rows = [(1, b"a", b"a"), (1, b"b", b"a"), (2, b"b", b"a"), (2, b"c", b"c"), (2, b"d", b"c"), (3, b"c", b"c"), (3, b"d", b"c")]
-    grouped = near_duplicates.several_parts(spark.createDataFrame(rows, "bucket long, node binary, part binary"))
+    members = spark.createDataFrame(rows, "bucket long, node binary, part binary").selectExpr("*", "0 AS alone", "0 AS side")
+    grouped = near_duplicates.several_parts(members)
     assert sorted((r["bucket"], bytes(r["node"])) for r in grouped.collect()) == [(2, b"b"), (2, b"c"), (2, b"d")]
     heads = near_duplicates.bucket_heads(grouped, 1).collect()
     assert {bytes(r["part"]) for r in heads} == {b"a", b"c"} and b"b" in {bytes(r["node"]) for r in heads}
 
 
+def test_sides_of_a_bucket(spark):
+    rows = [(1, b"a", 1), (1, b"b", 1), (2, b"a", 1), (2, b"b", 2), (3, b"a", 0), (3, b"b", 0)]
+    members = spark.createDataFrame(rows, "bucket long, node binary, side int").selectExpr("*", "node AS part", "0 AS alone")
+    assert {r["bucket"] for r in near_duplicates.several_parts(members).collect()} == {2, 3}
+
+
+def test_rare_buckets_hold_every_link(spark):
+    r = random.Random(13)
+    sets = []
+    for _ in range(6):
+        base = r.sample(range(1, 10**9), r.choice([5, 40, 150]))
+        for _ in range(40):
+            own = r.sample(base, len(base) - r.randrange(1 + len(base) // 4))
+            sets.append(set(own) | {r.randrange(10**9) for _ in range(r.randrange(1 + len(base) // 5))})
+    key = lambda i: f"{i:03d}".encode()
+    table = spark.createDataFrame([(key(i), sorted(s)) for i, s in enumerate(sets)], "node binary, cells array<long>")
+    nodes = table.selectExpr("node", "node AS part")
+    for threshold in (0.8, 0.55):
+        links = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a & b) >= threshold * len(a | b)}
+        buckets = defaultdict(list)
+        for row in near_duplicates.rare_buckets(nodes, table, threshold).collect():
+            buckets[row["bucket"]].append((int(bytes(row["node"])), row["side"]))
+        met = {tuple(sorted((i, j))) for own in buckets.values() for i, a in own for j, b in own if i < j and (a == 0 or a != b)}
+        assert len(links) > 100 and links <= met
+
+
+@pytest.mark.parametrize("words", [30, 400])
+def test_compared_pairs_grow_with_the_family(spark, documents, monkeypatch, words):
+    """A family whose members are 0.7 to 0.85 similar, some of them far from all: pairs in proportion, no link lost."""
+    compared = []
+    plain = near_duplicates.similar
+
+    def similar(pairs, *others):
+        compared[-1] += pairs.count()
+        return plain(pairs, *others)
+
+    monkeypatch.setattr(near_duplicates, "similar", similar)
+    r = random.Random(14)
+    base = [f"b{r.randrange(10**6)}" for _ in range(words)]
+    rows = [(i, varied(r, base, 1 + r.randrange(max(1, words // 30)))) for i in range(800)]
+    for n in (200, 400, 800):
+        compared.append(0)
+        assert classes_of(near_duplicates.classes(documents(rows[:n]))) == plain_near_classes(rows[:n])
+        assert compared[-1] < 40 * n
+    assert compared[2] < 6 * compared[0] + 1000
+
+
 def test_near_copies_leave(documents):
     text = " ".join(map(str, range(50)))
     rows = [(4, text + " end"), (2, text), (2, text), (7, "other words stand here, quite alone"), (8, None), (9, ""), (1, text.upper())]
