@@ -33,7 +33,7 @@ from foliary.llm.common import stored, uniform
 from foliary.session import cut_lineage
 
 UNITS = 1 << 24
-ITERATIONS = 60
+ITERATIONS = 200
 TOLERANCE = 1e-10
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -103,9 +103,11 @@ def tilts(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         F.lit(False).alias("solved"),
     )
     state = cut_lineage(state)
-    for _ in range(ITERATIONS):
+    for turn in range(ITERATIONS + 1):
         if state.where("not solved").isEmpty():
             break
+        if turn == ITERATIONS:
+            raise RuntimeError(f"a source is {TOLERANCE} or more from its target after {ITERATIONS} iterations")
         s = state.where("not solved").select(F.col("source").alias("of"), "tilt", "mean")
         part = rate(F.col("tilt"), F.col("size"), F.col("mean"), cap)
         scaled = F.col("size") / F.col("mean")

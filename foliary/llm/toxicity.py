@@ -36,6 +36,7 @@ from foliary.llm.kneser_ney import GramCounter, Level, Model, Vocabulary, level,
 ORDER, SHARED = 5, 3
 LONGEST = 10
 MODEL_ROWS, FIT_ROWS = 20_000, 10_000
+RIDGE = 0.01
 TOP = 3
 
 
@@ -166,10 +167,10 @@ def measured(rows: DataFrame, ratio: Ratio, ids: np.ndarray, classes: np.ndarray
     return np.column_stack([out.column(c).to_numpy() for c in "abc"]), out.column("toxic").to_numpy()
 
 
-def logistic(rows: np.ndarray, classes: np.ndarray, ridge: float = 0.01, steps: int = 50) -> np.ndarray:
-    """Weights by Newton's method, the constant first; ``ridge`` (per row) keeps separable data finite."""
+def logistic(rows: np.ndarray, classes: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
+    """Weights by Newton's method, the constant first; ``ridge`` keeps separable data finite."""
     x = np.column_stack([np.ones(len(rows)), rows])
-    penalty = np.diag([1e-6, *[ridge * len(rows)] * rows.shape[1]])
+    penalty = np.diag([1e-6, *[ridge] * rows.shape[1]])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -216,13 +217,9 @@ def fitted(
         return nothing
     mean, scale = seen.mean(axis=0), np.maximum(seen.std(axis=0), 1e-9)
     x = (seen - mean) / scale
-    if rarer:
-        # a penalty that grows with the rows would keep all scores near the sample's share, and none of a rare class
-        # could outweigh the shift
-        weights = logistic(x, wanted, 0.01 / len(x))
-        weights[0] -= rarer
-    else:
-        weights = logistic(x, wanted)
+    # the penalty of the whole sample does not grow with it: one that did would keep scores near the sample's share
+    weights = logistic(x, wanted)
+    weights[0] -= rarer
     return Classifier(ratio, weights, mean, scale)
 
 
