@@ -50,25 +50,12 @@ def frequency(df: DataFrame, column: str | Column, name: str, count: str = "coun
     )
 
 
-def lookup_join(
-    facts: DataFrame,
-    table: DataFrame,
-    on: str,
-    how: str = "left",
-    spread_by: list[str] | None = None,
-    salts: int = 16,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Equi-join of very many rows with a smaller table.
 
-    One key may hold a large share of the rows, so each key is spread over
-    ``salts`` copies of the table's rows.  The salt is a hash of ``spread_by``
-    (by default all columns but the key), hence the same when a lost task is
-    run again.  Spark still broadcasts the table where its own size check
-    allows that.
+    The table is joined as it is.  Spark broadcasts it where its own size check allows that; copies of
+    its rows, one for each salt, would pass that check at the size of one copy.  Where both sides are shuffled,
+    adaptive execution splits the partition of a key that holds a large share of the rows (see
+    ``RUNTIME_SETTINGS``).
     """
-    spread_by = spread_by or [c for c in facts.columns if c != on]
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        facts.withColumn("_salt", spread).join(salted, [on, "_salt"], how).drop("_salt")
-    )
+    return facts.join(table, on, how)

@@ -17,14 +17,13 @@ def by_distinct_value(df: DataFrame, column: str, compute, *outputs: str) -> Dat
     """Apply a costly rule once per distinct value.
 
     Names repeat a lot, so the rule runs on the distinct names and the result
-    is joined back, a frequent name being spread over several tasks.
+    is joined back.
     """
     key = f"_{column}_key"
     keyed = df.withColumn(key, F.col(column))
     table = keyed.select(key).filter(F.col(key).isNotNull()).distinct()
     table = compute(table, key).select(key, *outputs)
-    spread = [c for c in ("id", "document_id") if c in df.columns] or None
-    return lookup_join(keyed, table, key, "left", spread).drop(key)
+    return lookup_join(keyed, table, key).drop(key)
 
 
 def clean_clients(rows: DataFrame, column: str = "client") -> DataFrame:
@@ -67,10 +66,7 @@ def resolve_clients(
     """
 
     def resolve(table: DataFrame, name: str) -> DataFrame:
-        spread = [c for c in ("id", "document_id") if c in table.columns] or None
-        keyed = lookup_join(
-            table.withColumn("key", F.lower(name)), overrides, "key", "left", spread
-        )
+        keyed = lookup_join(table.withColumn("key", F.lower(name)), overrides, "key")
         resolved = keyed.withColumn("_r", names.resolved(F.col(name), F.col("override")))
         return resolved.withColumns(
             {
@@ -261,7 +257,7 @@ def _word_sets(named: DataFrame) -> DataFrame:
     nodes = sets.groupBy("tokens").agg(F.min("place").alias("node"))
     tokens = nodes.select("node", F.explode("tokens").alias("token"))
     weights = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = lookup_join(tokens, weights, "token", "inner", ["node"])
+    ranked = lookup_join(tokens, weights, "token", "inner")
     by_rarity = F.array_sort(F.collect_list(F.struct("df", "token")))
     return ranked.groupBy("node").agg(
         F.transform(by_rarity, lambda x: x["token"]).alias("tokens")
@@ -417,7 +413,7 @@ def near_duplicate_groups(
         )
         views = sees.join(viewers, "node", "left_semi")
         return (
-            lookup_join(views, firsts, "key", "inner", ["node"])
+            lookup_join(views, firsts, "key", "inner")
             .groupBy("node")
             .agg(F.min("first").alias("first"))
         )
@@ -443,7 +439,7 @@ def near_duplicate_groups(
         "place", "name", F.array_sort(F.array_distinct(words(F.col("name")))).alias("words")
     ).join(grouped.select("words", "seed"), "words")
     sizes = members.groupBy("seed").agg(F.count("*").alias("members")).filter("members > 1")
-    return lookup_join(members, sizes, "seed", "inner", ["place"]).select("place", "name", "seed")
+    return lookup_join(members, sizes, "seed", "inner").select("place", "name", "seed")
 
 
 def first_appearance(rows: DataFrame, column: str, order: str) -> DataFrame:

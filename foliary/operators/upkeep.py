@@ -524,7 +524,6 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
         known.select("content_hash").filter("content_hash IS NOT NULL").distinct(),
         "content_hash",
         "left_anti",
-        ["file_id"],
     )
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from foliary.operators import entities as e
+from foliary.operators.common import lookup_join
 
 
 def walk(names, threshold):
@@ -82,3 +83,14 @@ def test_merge_ladder(spark):
         4: ("Joe Hill", "ai_t2_last_resort"),
         5: (None, "null"),
     }
+
+
+def test_looked_up_table_is_not_copied(spark):
+    """Copies of its rows would be broadcast by the estimate of one copy."""
+    table = spark.range(3000).selectExpr("id AS key", "concat('name ', id) AS name")
+    facts = spark.range(5000).selectExpr("id", "id % 4000 AS key")
+    joined = lookup_join(facts, table, "key", "left")
+    assert joined.where("name IS NULL").count() == 1000
+    assert "Generate" not in joined._jdf.queryExecution().executedPlan().toString()
+    anti = lookup_join(facts.withColumn("key", e.F.when(e.F.col("key") % 2 == 0, e.F.col("key"))), table, "key", "left_anti")
+    assert anti.count() == 2500 + 500
