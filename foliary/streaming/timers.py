@@ -1,7 +1,7 @@
 """Silent documents by state and event-time timers.
 
 Each event of a document stays in its state until the watermark has passed the event by the threshold. Then nothing
-earlier can arrive, and the timer of the event decides: no other event within the threshold, and a kind
+earlier can arrive, and a timer decides all events that are due: no other event within the threshold, and a kind
 that leaves the document in work, and it goes back to the queue.  Out-of-order events find their
 place because a decision waits for the watermark.  A completion or failure that arrives for a document
 already sent back takes that back: a row with the new status follows.
@@ -12,6 +12,7 @@ checkpoint of the query; a restarted query goes on from there.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -46,9 +47,9 @@ class SilentDocuments(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fresh = [(row["micros"], row["kind"]) for row in rows]
-        self.pending.appendList([(micros, kind) for micros, kind in fresh])
-        for micros in {micros for micros, _ in fresh}:
-            self.handle.registerTimer(self.timer_of(micros))
+        self.pending.appendList(fresh)
+        # a timer decides all that is due by then, and sets the next one
+        self.handle.registerTimer(self.timer_of(min(micros for micros, _ in fresh)))
         if self.queued.exists():
             since = self.queued.get()[0]
             later = sorted(e for e in fresh if e[0] > since and e[1] in ENDED)
@@ -58,19 +59,27 @@ class SilentDocuments(StatefulProcessor):
                 yield Row(document_id=key[0], seen=micros, status=ENDED[kind], changed=micros)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        # timers that expire together find the first one's work done
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         events = sorted(tuple(e) for e in self.pending.get())
-        decided = [e for e in events if self.timer_of(e[0]) <= due]
-        for i, (micros, kind) in enumerate(decided):
+        decided = bisect_right(events, due, key=lambda e: self.timer_of(e[0]))
+        if not decided:
+            return
+        ends = [micros for micros, kind in events if kind in ENDED]
+        since = None
+        for i, (micros, kind) in enumerate(events[:decided]):
             following = events[i + 1][0] if i + 1 < len(events) else None
             if kind in AT_WORK and (following is None or following - micros > self.threshold):
                 # an end that came before this decision needs no correction
-                if not any(k in ENDED for m, k in events if m > micros):
-                    self.queued.update((micros,))
+                if not ends or ends[-1] <= micros:
+                    since = micros
                 yield Row(document_id=key[0], seen=micros, status="QUEUED", changed=micros + self.threshold)
-        left = events[len(decided) :]
+        if since is not None:
+            self.queued.update((since,))
+        left = events[decided:]
         if left:
             self.pending.put(left)
+            self.handle.registerTimer(self.timer_of(left[0][0]))
         else:
             self.pending.clear()
 

@@ -67,3 +67,57 @@ def test_a_completion_after_the_timeout_takes_it_back(spark):
     assert two == run(spark, path, schema, folder)
     assert [x for x in two if x[0] == 1] == [(1, 0, "QUEUED", 360), (1, 2500, "COMPLETED", 2500)]
     assert spark.conf.get(timers.PROVIDER, None) != timers.ROCKS
+
+
+class CountedState:
+    """List, value and timers of one document, and how often they are used."""
+
+    def __init__(self):
+        self.events, self.since, self.timers, self.reads = [], None, set(), 0
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        state = CountedState()
+        state.exists = lambda: False
+        state.update = lambda value: None
+        return state
+
+    def appendList(self, rows):
+        self.events += rows
+
+    def put(self, rows):
+        self.events = list(rows)
+
+    def clear(self):
+        self.events = []
+
+    def get(self):
+        self.reads += 1
+        return list(self.events)
+
+    def registerTimer(self, millis):
+        self.timers.add(millis)
+
+
+def test_due_events_are_decided_in_one_pass():
+    """The work of a document grows with its events, not with their square."""
+    state, seconds = CountedState(), 1_000_000
+    processor = timers.SilentDocuments(360)
+    processor.init(state)
+    rows = [{"micros": i * 400 * seconds, "kind": "heartbeat"} for i in range(300)]
+    list(processor.handleInputRows((1,), iter(rows), None))
+    assert len(state.timers) == 1
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 250 * 400 * 1000 + 360 * 1000
+
+    class First:
+        def getExpiryTimeInMs(self):
+            return min(state.timers)
+
+    out = list(processor.handleExpiredTimer((1,), Now(), First()))
+    assert [r["seen"] for r in out] == [i * 400 * seconds for i in range(251)]
+    assert state.reads == 1 and len(state.events) == 49 and len(state.timers) == 2
