@@ -139,6 +139,19 @@ def test_only_the_folders_of_the_term_are_read(spark):
     assert ids >= {i for i in range(300) if str(i).startswith("17")} and len(ids) < 40
 
 
+def test_an_index_row_holds_many_documents(spark):
+    """Rows per trigram and batch, not per trigram and document; ids may repeat, and no trigram crosses two texts."""
+    rows = [(i % 900, f"some words {i % 10}", ["ab", "cd", None, "x\U0001f600yz"]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, name string, terms array<string>").coalesce(1)
+    path, fields = new_folder(spark, "trigrams"), {"name": F.col("name"), "terms": F.col("terms")}
+    tg.write_trigrams(df, fields, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == len({f"some words {i}"[j : j + 3] for i in range(10) for j in range(10)}) + 2
+    assert sorted(r["id"] for r in tg.containing(df, path, fields, "words 7").collect()) == sorted(i for i, n, _ in rows if "words 7" in n)
+    assert tg.containing(df, path, fields, "\U0001f600YZ").count() == 1000
+    assert tg.candidates(spark, path, ["terms"], "abcd").count() == 0
+
+
 # --- ranked pages ----------------------------------------------------------
 
 
