@@ -138,13 +138,14 @@ CATALOG = {
     ),
     "search_vector": ("e.embedding", "e"),
 }
+_CUSTOMER_KEY = (
+    "CASE WHEN d.doc_id%3=0 THEN d.doc_id%20 "
+    "ELSE CAST(floor(d.doc_id/3) AS BIGINT) END % (SELECT count(*) FROM {customer})"
+)
 _JOINS = {
     "e": "LEFT JOIN {embeddings} e ON e.vec_id=d.doc_id",
     # every customer has documents; a third of all documents belongs to twenty busy ones
-    "c": (
-        "LEFT JOIN {customer} c ON c.c_custkey=CASE WHEN d.doc_id%3=0 THEN d.doc_id%20 "
-        "ELSE CAST(floor(d.doc_id/3) AS BIGINT) END % (SELECT count(*) FROM {customer})"
-    ),
+    "c": f"LEFT JOIN {{customer}} c ON c.c_custkey={_CUSTOMER_KEY}",
     "o": "LEFT JOIN {orders} o ON o.o_orderkey=d.doc_id",
 }
 
@@ -156,6 +157,16 @@ def catalog_sql(columns: list[str] | None = None) -> str:
     return " ".join([f"SELECT {select} FROM {{documents}} d", *[_JOINS[k] for k in needed]])
 
 
+def with_key(text: str, key: str, columns: str = "*") -> str:
+    """The same SQL for Spark with the key of a join computed beside the documents: a key that holds a subquery
+    cannot be that of a broadcast table, for Spark does not wait for it there."""
+    if key not in text:
+        return text
+    plain = key.replace("d.", "")
+    documents = f"(SELECT {columns}, {plain} AS join_key FROM {{documents}}) d"
+    return text.replace("{documents} d", documents).replace(f"={key}", "=d.join_key")
+
+
 _TERM = "concat(p.p_brand,' ',p.p_name)"
 VIEWS = {
     "doc_mappings": (
@@ -246,14 +257,16 @@ SOURCES = [
 ]
 
 
-# the same view without a product, for Spark
+# the same views for Spark: without a product, keys of joins computed beforehand
 _SPARK_VIEWS = {
+    "payers": with_key(VIEWS["payers"], "d.doc_id%(SELECT count(*) FROM {part})", "doc_id"),
     "doc_mappings": (
         "SELECT d.doc_id AS document_id, d.k AS pos, p.p_name AS verbatim_term, "
         "p.p_type AS mapped_primary_category, p.p_brand AS mapped_subcategory, "
         f"{_TERM} AS mapped_canonical_term "
-        "FROM (SELECT doc_id, explode(array(0, 1, 2)) AS k FROM {documents}) d "
-        "JOIN {part} p ON p.p_partkey=(d.doc_id*7+d.k*13)%(SELECT count(*) FROM {part})"
+        "FROM (SELECT doc_id, k, (doc_id*7+k*13)%(SELECT count(*) FROM {part}) AS join_key "
+        "FROM (SELECT doc_id, explode(array(0, 1, 2)) AS k FROM {documents})) d "
+        "JOIN {part} p ON p.p_partkey=d.join_key"
     ),
 }
 
@@ -291,7 +304,7 @@ class Tables:
         nested = "keywords" in columns
         plain = [c for c in columns if c != "keywords"]
         extra = [c for c in ("id", "mapping_count") if nested and c not in plain]
-        df = self.sql(catalog_sql(plain + extra))
+        df = self.sql(with_key(catalog_sql(plain + extra), _CUSTOMER_KEY))
         if nested:
             df = self._with_keywords(df)
         return df.select(*columns)

@@ -265,8 +265,8 @@ def override_table(t: Tables):
 )
 def title_case(t: Tables):
     named = t.sql(
-        "SELECT d.doc_id AS id, p.p_name FROM {documents} d JOIN {part} p "
-        "ON p.p_partkey=d.doc_id%(SELECT count(*) FROM {part})"
+        "SELECT d.doc_id AS id, p.p_name FROM (SELECT doc_id, doc_id%(SELECT count(*) FROM {part}) AS join_key FROM {documents}) d "
+        "JOIN {part} p ON p.p_partkey=d.join_key"
     )
     raw = F.when(F.col("id") % 9 == 8, F.concat("p_name", F.lit(" o'BRIEN 97th"))).otherwise(
         F.upper("p_name")

@@ -19,6 +19,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # rows with long texts: fewer of them in one Arrow batch
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    # rows of a stored table take about ten times their file size in the hash table of a join: without this a table
+    # of almost 10 MB on disk is broadcast, and two of them at a time are more than a small driver holds
+    "spark.sql.sources.fileCompressionFactor": "10.0",
     # split a hot join key even where that costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

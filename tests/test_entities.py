@@ -6,6 +6,7 @@ import pytest
 
 from foliary.operators import entities as e
 from foliary.operators.common import lookup_join
+from foliary.plans.derived import Tables
 
 
 def walk(names, threshold):
@@ -94,3 +95,28 @@ def test_looked_up_table_is_not_copied(spark):
     assert "Generate" not in joined._jdf.queryExecution().executedPlan().toString()
     anti = lookup_join(facts.withColumn("key", e.F.when(e.F.col("key") % 2 == 0, e.F.col("key"))), table, "key", "left_anti")
     assert anti.count() == 2500 + 500
+
+
+def test_a_stored_table_counts_as_its_rows_do(spark, tmp_path):
+    """Two megabytes on disk are some thirty as rows: not for a broadcast."""
+    path = str(tmp_path / "names.parquet")
+    rows = spark.range(0, 100_000, 1, 1).select("id", e.F.base64(e.F.unhex(e.F.substring(e.F.sha2(e.F.col("id").cast("string"), 256), 1, 24))).alias("name"))
+    rows.write.parquet(path)
+    names = e.override_table(spark.read.parquet(path).selectExpr("name AS client_clean_v1", "name AS client_canonical"))
+    assert 1 << 20 < sum(f.stat().st_size for f in (tmp_path / "names.parquet").glob("*.parquet")) < 10 << 20
+    facts = spark.range(3_000_000).selectExpr("CAST(id AS STRING) AS key")
+    plan = lookup_join(facts, names, "key")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("view, columns", [("payers", ("id", "raw")), ("doc_mappings", ("document_id", "verbatim_term"))])
+def test_documents_may_be_the_smaller_table(spark, tmp_path, view, columns):
+    """Fewer documents than parts: they are broadcast by a key that needs the number of parts."""
+    folder = str(tmp_path)
+    spark.range(3).selectExpr("id AS doc_id", "'text' AS text", "'en' AS lang", "'web' AS source", "4L AS n_chars").write.parquet(f"{folder}/documents.parquet")
+    parts = spark.range(1, 401).selectExpr("id AS p_partkey", "concat('part ', id, ' of many') AS p_name", "'Brand#2' AS p_brand", "'tin' AS p_type")
+    parts.write.parquet(f"{folder}/part.parquet")
+    rows = getattr(Tables(spark, folder), view).select(*columns)
+    counted = rows.groupBy(columns[1]).count().collect()
+    expected = {"payers": 2, "doc_mappings": 8}[view]
+    assert sum(r["count"] for r in counted) == expected
