@@ -226,26 +226,36 @@ def mixed(
 ) -> DataFrame:
     """``df`` with each row as often as the mix takes it, all columns as they were.
 
-    Decisions and rows meet by id; rows that share an id are numbered on both sides
-    by source and size, so each row gets one decision.
+    Decisions and rows meet by id, source and size.  Rows that share all three have the same rate, so their decisions
+    differ by one copy at most: two numbers tell them, and the rows are counted off behind the join, where they already
+    lie together.  So the texts are shuffled once.
     """
     names = df.columns
+    keys = {
+        # null is a value of its own; plain columns, so that the join and the window deal rows out alike
+        "mix_id": F.coalesce("doc_id", F.lit(0)),
+        "mix_no_id": F.col("doc_id").isNull(),
+        "mix_source": F.coalesce("source", F.lit("")),
+        "mix_no_source": F.col("source").isNull(),
+        "mix_size": F.col("size"),
+    }
     whole = df.select(
         F.struct(*[df[f"`{n}`"] for n in names]).alias("row"),
         df[f"`{id_col}`"].cast("long").alias("doc_id"),
         df[f"`{source_col}`"].cast("string").alias("source"),
         words(df[f"`{text_col}`"]).alias("size"),
-    )
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))
+    ).select("row", *[c.alias(n) for n, c in keys.items()])
     decided = (
         mixture(sizes_of(df, id_col, text_col, source_col), **parameters)
-        .withColumn("nth", nth)
-        .select(F.col("doc_id").alias("of"), F.col("nth").alias("of_nth"), "copies")
-        .where("copies > 0")
+        .groupBy(*[c.alias(n) for n, c in keys.items()])
+        .agg(F.min("copies").alias("least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("extra"))
+        .where("least + extra > 0")
     )
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("mix_size"))
     return (
-        whole.withColumn("nth", nth)
-        .join(decided, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("of_nth")))
+        whole.join(decided, list(keys))
+        .withColumn("copies", F.col("least") + (nth <= F.col("extra")).cast("long"))
+        .where("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select(*[F.col("row")[n].alias(n) for n in names])
     )

@@ -502,3 +502,38 @@ def test_mixed_rows(documents):
     assert out.columns == df.columns
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({k: n for k, n in copies.items() if n})
     assert mixing.mixed(documents([])).count() == 0
+
+
+def test_mix_shuffles_texts_once(spark, documents):
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 3 == 0]) for i in range(200)]
+    rows += [(7, f"same id {i}", "a") for i in range(40)] + [(8, f"no source {i}", None) for i in range(30)]
+    rows += [(None, f"no id {i}", s) for i in range(20) for s in ("a", "", None)]
+    df = documents(rows)
+    size = lambda text: len(text.split())
+    copies = Counter()
+    for r in mixing.mixture(mixing.sizes_of(df)).collect():
+        copies[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = mixing.mixed(df)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = out.collect()
+        nodes, shuffles = [out._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            columns = [node.output().apply(i).name() for i in range(node.output().size())]
+            # the given table is repartitioned and has a row of its own
+            shuffles += node.nodeName() == "Exchange" and "row" in columns and "text" not in columns
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert shuffles == 1
+    assert Counter((r["doc_id"], r["source"], size(r["text"])) for r in got) == Counter({k: n for k, n in copies.items() if n})
+    # of rows that share id, source and size none is taken two times more often than another
+    taken = Counter((r["doc_id"], r["source"], r["text"]) for r in got)
+    alike = Counter((i, source, size(text)) for i, text, source in rows)
+    for i, text, source in rows:
+        n, of = copies[i, source, size(text)], alike[i, source, size(text)]
+        assert taken[i, source, text] in (n // of, -(-n // of))
