@@ -216,3 +216,13 @@ def test_best_fit_against_a_scan_of_all_rows():
             else:
                 room.append(width - size)
         assert sorted(width - sum(sizes[i] for i in r) for r in rows) == sorted(room)
+
+
+def test_ranks_encode_whole_texts(monkeypatch):
+    """The library splits a text itself: the same ids, and no lookup of pieces."""
+    by_pieces = byte_bpe.encoder(VOCABULARY, public.PATTERN)
+    texts = ["", " ", "  a b", "a\n\n b  c ", "don't 'll　 y  z", "\U0001f600<|endoftext|>", "é" * 300, " " * 3000 + "x", "\n" * 200 + " q"]
+    expected = [by_pieces(text) for text in texts]
+    monkeypatch.setattr(byte_bpe, "pieces_of", None)
+    encode = byte_bpe.rank_encoder(RANKS, public.PATTERN)
+    assert [encode(text) for text in texts] == expected
