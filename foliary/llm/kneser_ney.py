@@ -7,6 +7,10 @@ a million.  That bounds what is sent to the executors.  Counting is a Spark aggr
 documents; a level of a model is a sorted array of hashed n-grams beside their discounted
 probabilities, and one of hashed contexts beside their backoff weights, both looked up by binary
 search.
+
+The second half of the module models characters as they are: an n-gram is the code points before (``context``,
+21 bits each) and the ``symbol``, so nothing bounds a model but the corpus, and it stays a table.  Its
+levels are aggregations and joins, and only the discounts (a few numbers per kind and order) come to the driver.
 """
 
 from __future__ import annotations
@@ -15,11 +19,12 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.llm.common import mixed64
@@ -107,7 +112,12 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Discount of a count of 0, 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times."""
-    n = [max(1, int((counts == i).sum())) for i in range(1, 5)]
+    return discounts_of([int((counts == i).sum()) for i in range(1, 5)])
+
+
+def discounts_of(occurring: list[int]) -> np.ndarray:
+    """The same from the numbers of n-grams that occur once, twice, 3 and 4 times."""
+    n = [max(1, i) for i in occurring]
     y = n[0] / (n[0] + 2 * n[1])
     own = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
     return np.array([0.0, *(min(max(d, 0.1), i * 0.95) for i, d in enumerate(own, 1))])
@@ -227,3 +237,74 @@ class Vocabulary:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+
+# characters as they are
+
+POINT_BITS, MOST_ORDER = 21, 4
+CHARACTERS = 0x110000 + 1  # every code point, and the end of a word
+
+
+def character_grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of words, sorted: ``context`` (the newest character in the lowest bits) and ``symbol``; then the
+    number of the n-gram at each character of each word and at its end, and where each word starts.
+
+    A symbol is the code point plus 1; 0 is the end of a word and what is before it."""
+    if not 1 <= order <= MOST_ORDER:
+        raise ValueError(f"a context holds at most {MOST_ORDER - 1} characters")
+    if not words:
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    text = b"\n".join(words).decode("utf-8", "replace") + "\n"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    ends = points == 10
+    symbols = np.where(ends, 0, points + 1)
+    starts = np.r_[0, np.flatnonzero(ends)[:-1] + 1]
+    at = np.arange(len(points)) - np.repeat(starts, np.diff(np.r_[starts, len(points)]))
+    contexts = np.zeros_like(symbols)
+    for j in range(1, order):
+        older = np.zeros_like(symbols)
+        older[j:] = symbols[:-j]
+        contexts |= np.where(at >= j, older, 0) << (POINT_BITS * (j - 1))
+    own, place = np.unique(contexts, return_inverse=True)
+    both, number = np.unique(place << POINT_BITS | symbols, return_inverse=True)
+    return own[both >> POINT_BITS], both & ((1 << POINT_BITS) - 1), number, starts
+
+
+def discounts_by_kind(levels: list[DataFrame]) -> list[dict[str, np.ndarray]]:
+    """Discounts of each level (``kind, n``) and kind."""
+    numbers = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]
+    rows = [own.groupBy(F.lit(k).alias("level"), "kind").agg(*numbers) for k, own in enumerate(levels)]
+    out: list[dict[str, np.ndarray]] = [{} for _ in levels]
+    for k, kind, *n in reduce(DataFrame.unionByName, rows).collect():
+        out[k][kind] = discounts_of(n)
+    return out
+
+
+def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
+    """``kind, context, symbol, log_p`` of the n-grams ``kind, context, symbol, n`` of the highest order, each given once.
+
+    The n-grams of one context are at most as many as there are characters."""
+    levels = [grams]
+    for k in range(order - 1, 0, -1):
+        shorter = F.col("context").bitwiseAND(F.lit((1 << POINT_BITS * (k - 1)) - 1).cast("long"))
+        levels.append(levels[-1].groupBy("kind", shorter.alias("context"), "symbol").agg(F.count("*").alias("n")))
+    levels.reverse()
+    same_context = Window.partitionBy("kind", "context")
+    found = None
+    for k, (own, taken) in enumerate(zip(levels, discounts_by_kind(levels)), 1):
+        if not taken:
+            return grams.select("kind", "context", "symbol", F.lit(0.0).alias("log_p"))
+        entries = ((F.lit(kind), F.array(*[F.lit(float(x)) for x in d[1:]])) for kind, d in sorted(taken.items()))
+        discount = F.create_map(*chain.from_iterable(entries))[F.col("kind")][F.least("n", F.lit(3)).cast("int") - 1]
+        rows = own.withColumn("d", discount).withColumns(
+            {"total": F.sum("n").over(same_context), "free": F.sum("d").over(same_context)}
+        )
+        lower = F.lit(1 / CHARACTERS)
+        if found is not None:
+            shorter = F.col("context").bitwiseAND(F.lit((1 << POINT_BITS * (k - 2)) - 1).cast("long"))
+            below = found.select("kind", F.col("context").alias("shorter"), "symbol", F.col("p").alias("lower"))
+            rows, lower = rows.withColumn("shorter", shorter).join(below, ["kind", "shorter", "symbol"]), F.col("lower")
+        p = (F.col("n") - F.col("d") + F.col("free") * lower) / F.col("total")
+        found = rows.select("kind", "context", "symbol", p.alias("p"))
+    return found.select("kind", "context", "symbol", F.log("p").alias("log_p"))

@@ -78,7 +78,7 @@ def op6_packed_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return perplexity.judged(table(spark, folder, "documents"))
+    return perplexity.judged(table(spark, folder, "documents"), folded=False)
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:

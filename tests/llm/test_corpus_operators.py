@@ -381,6 +381,71 @@ def test_perplexity_bands_keep_clean_documents(spark):
     assert not any(judged[i]["kept"] for i, _, _ in noise)
 
 
+def plain_character_model(words, order):
+    """Probability of each n-gram over characters as they are, by dictionaries, from the definition."""
+    grams = Counter()
+    for w, n in words.items():
+        s = ["end"] * (order - 1) + list(w) + ["end"]
+        for i in range(order - 1, len(s)):
+            grams[tuple(s[i - order + 1 : i + 1])] += n
+    levels = [grams]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    below = {(): 1 / (0x110000 + 1)}
+    for own in reversed(levels):
+        d = kneser_ney.discounts(np.array(list(own.values())))
+        total, free = Counter(), Counter()
+        for g, n in own.items():
+            total[g[:-1]] += n
+            free[g[:-1]] += d[min(n, 3)]
+        below = {g: (n - d[min(n, 3)] + free[g[:-1]] * below[g[1:]]) / total[g[:-1]] for g, n in own.items()}
+    return below
+
+
+@pytest.mark.parametrize("most", [perplexity.BLOCK_BYTES, 300])
+def test_perplexity_over_characters_as_they_are(spark, documents, monkeypatch, most):
+    """Characters that fold to one symbol are told apart, in one block and in many; a zero character is one too."""
+    monkeypatch.setattr(perplexity.blocked, "__defaults__", (most,))
+    r = random.Random(5)
+    alphabets = ["abcdeABCDE", "\u4e00\u4e1a\u4e34\u4e4e", "0123456789", "a\x00é\U0001f600"]
+    rows = [(i, " ".join("".join(r.choices(alphabets[i % 4], k=r.randint(1, 6))) for _ in range(60))) for i in range(40)]
+    rows += [(40, None), (41, " "), (7, rows[7][1])]
+    own = Counter(w for _, t in rows for w in (t or "").split())
+    model = plain_character_model(own, 4)
+    got = perplexity.judged(documents(rows), languages=(), folded=False).collect()
+    assert len(got) == len(rows) and sum(x["doc_id"] == 7 for x in got) == 2
+    texts = dict(rows)
+    for x in got:
+        words = (texts[x["doc_id"]] or "").split()
+        assert tuple(x)[1:7] == plain_base(texts[x["doc_id"]])
+        if not words:
+            assert x["perplexity"] is None
+            continue
+        grams = [tuple((["end"] * 3 + list(w) + ["end"])[i : i + 4]) for w in words for i in range(len(w) + 1)]
+        assert x["perplexity"] == pytest.approx(math.exp(-sum(math.log(model[g]) for g in grams) / len(grams)), rel=1e-9)
+    assert perplexity.judged(documents([]), folded=False).count() == 0
+    assert perplexity.judged(documents([(1, None)]), folded=False).count() == 1
+
+
+def test_foreign_characters_are_told_apart(spark, documents):
+    """Folded, both alphabets give the same symbols; as they are, the rare one stands out."""
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(200)]
+    rows = [(i, " ".join(r.choices(words, k=80))) for i in range(200)]
+    other = str.maketrans({c: next(chr(p) for p in range(0x4E00, 0x4F00) if 1 + p % 26 == 1 + i) for i, c in enumerate("abcdefgh")})
+    rows.append((200, rows[0][1].translate(other)))
+    folded, plain = (by_id(perplexity.judged(documents(rows), folded=f)) for f in (True, False))
+    assert folded[200]["perplexity"] == pytest.approx(folded[0]["perplexity"])
+    assert plain[200]["perplexity"] > 1.2 * plain[0]["perplexity"]
+
+
+def test_bands_over_characters_as_they_are(spark):
+    df = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    rows = perplexity.judged(df, folded=False).join(labels, "doc_id").where("not base_failed").collect()
+    assert np.mean([r["kept"] for r in rows if r["quality"] == 1]) > 0.99
+
+
 def test_toxicity_on_held_out_rows(spark):
     df = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
