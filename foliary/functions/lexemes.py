@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +36,15 @@ _STEP_4 = [
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment",
     "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 ]
+_LONGEST_FIRST = sorted(_STEP_4, key=len, reverse=True)
+_ENDS_2, _ENDS_3, _ENDS_4 = tuple(_STEP_2), tuple(_STEP_3), tuple(_STEP_4)
+_SHAPES = {c: "v" if chr(c) in "aeiou" else "c" for c in range(128)}
 
 
 def _shape(word: str) -> str:
     """Each letter as ``v`` or ``c``; ``y`` is a vowel after a consonant."""
+    if "y" not in word:
+        return word.translate(_SHAPES)
     shape = ""
     for ch in word:
         vowel = ch in "aeiou" or (ch == "y" and shape.endswith("c"))
@@ -53,7 +60,9 @@ def _ends_cvc(word: str) -> bool:
     return _shape(word).endswith("cvc") and word[-1] not in "wxy"
 
 
-def _swap(word: str, rules: dict[str, str]) -> str:
+def _swap(word: str, rules: dict[str, str], ends: tuple[str, ...]) -> str:
+    if not word.endswith(ends):
+        return word
     for size in range(7, 1, -1):
         suffix = word[-size:]
         if len(word) > size and suffix in rules:
@@ -62,6 +71,9 @@ def _swap(word: str, rules: dict[str, str]) -> str:
     return word
 
 
+_STOP_WORDS = frozenset(fv.TEXT_STOP_WORDS)
+
+
 @lru_cache(maxsize=200_000)
 def stem_word(word: str) -> str:
     """Porter stem of one lower-case English word."""
@@ -91,13 +103,12 @@ def stem_word(word: str) -> str:
                 break
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    word = _swap(_swap(word, _STEP_2), _STEP_3)
-    for suffix in sorted(_STEP_4, key=len, reverse=True):
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
-                word = stem
-            break
+    word = _swap(_swap(word, _STEP_2, _ENDS_2), _STEP_3, _ENDS_3)
+    if word.endswith(_ENDS_4):
+        suffix = next(x for x in _LONGEST_FIRST if word.endswith(x))
+        stem = word[: -len(suffix)]
+        if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
+            word = stem
     # final e, double l
     if word.endswith("e"):
         stem = word[:-1]
@@ -108,9 +119,26 @@ def stem_word(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem_word(w) for w in ws])
+_PLACED = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("pos", T.IntegerType())]))
+
+
+def placed_stems(words: pa.Array, wanted: frozenset[str] | None = None) -> pa.Array:
+    """Stems of lists of words with their positions, without stop words; each distinct word of a batch is
+    stemmed once."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(words.flatten())
+    each = coded.dictionary.to_pylist()
+    stems = [stem_word(w) for w in each]
+    kept = np.array([w not in _STOP_WORDS and (wanted is None or x in wanted) for w, x in zip(each, stems)], bool)
+    at = coded.indices.to_numpy()
+    here = kept[at]
+    row = np.repeat(np.arange(len(words)), lengths)
+    pos = np.arange(len(at)) - (np.cumsum(lengths) - lengths)[row] + 1
+    ends = np.cumsum(np.bincount(row[here], minlength=len(words)))
+    lexemes = pa.array(stems, pa.string()).take(pa.array(at[here]))
+    places = pa.StructArray.from_arrays([lexemes, pa.array(pos[here], pa.int32())], ["lexeme", "pos"])
+    offsets = pa.array(np.r_[0, ends], pa.int32())
+    return pa.ListArray.from_arrays(offsets, places, mask=words.is_null() if words.null_count else None)
 
 
 def lexeme_positions(
@@ -119,18 +147,20 @@ def lexeme_positions(
     """``array<struct<lexeme, pos>>`` without stop words; positions count every
     word from 1.  ``wanted`` keeps only these lexemes."""
     words = tokens(text)
-    forms = stem_tokens(words) if stem else words
-    placed = F.zip_with(
-        forms,
-        F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("pos"))),
-        lambda lexeme, p: F.struct(
-            lexeme.alias("lexeme"), p["pos"].alias("pos"), p["word"].alias("word")
-        ),
-    )
-    if wanted is not None:
-        placed = F.filter(placed, lambda p: p["lexeme"].isin(wanted))
-    kept = F.filter(placed, lambda p: ~p["word"].isin(fv.TEXT_STOP_WORDS))
-    return F.transform(kept, lambda p: p.dropFields("word"))
+    if stem:
+        chosen = None if wanted is None else frozenset(wanted)
+
+        def run(lists: pa.Array) -> pa.Array:
+            return placed_stems(lists, chosen)
+
+        return F.arrow_udf(run, _PLACED)(words)
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("pos")))
+
+    def kept(p: Column) -> Column:
+        content = ~p["lexeme"].isin(fv.TEXT_STOP_WORDS)
+        return content if wanted is None else p["lexeme"].isin(wanted) & content
+
+    return F.filter(placed, kept)
 
 
 def may_contain(text: Column, lexemes: list[str], stem: bool = True) -> Column:

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foliary.functions import lexemes
 from foliary.functions.lexemes import may_contain, query_lexemes, stem_word
 from foliary.operators import search as s
 
@@ -182,6 +184,20 @@ def test_stems():
     assert {w: stem_word(w) for w in STEMS} == STEMS
 
 
+def test_distinct_words_of_a_batch_are_stemmed_once(spark, monkeypatch):
+    lists = [["the", "taxes", "roads"], None, [], ["roads", "and", "roads", "sky"], ["the"]]
+    asked, plain = [], lexemes.stem_word
+    monkeypatch.setattr(lexemes, "stem_word", lambda w: asked.append(w) or plain(w))
+    batch = pa.array([["cut", "off"], *lists], pa.list_(pa.string())).slice(1)
+    got = lexemes.placed_stems(batch).to_pylist()
+    assert sorted(asked) == ["and", "roads", "sky", "taxes", "the"]
+    placed = [None if x is None else [{"lexeme": plain(w), "pos": i} for i, w in enumerate(x, 1) if w not in ("the", "and")] for x in lists]
+    assert got == placed
+    only = lexemes.placed_stems(batch, frozenset(["road"])).to_pylist()
+    assert only == [None if x is None else [p for p in x if p["lexeme"] == "road"] for x in placed]
+    assert lexemes.placed_stems(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+
+
 def test_cheap_text_test_never_loses_a_match(spark):
     words = sorted({*STEMS, "probability", "nationality", "agencies", "organization", "skies", "dying"})
     for w in words:
