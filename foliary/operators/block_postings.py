@@ -36,19 +36,22 @@ def block_of(id_col: str | Column = "id", ids: int = BLOCK_IDS) -> Column:
 
 
 def blocks(postings: DataFrame, ids: int = BLOCK_IDS) -> DataFrame:
-    """``lexeme, block, max_hits, documents`` of postings (``id, lexeme, pos``)."""
-    documents = postings.groupBy("lexeme", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """``lexeme, block, max_hits, documents`` of postings (``id, lexeme, pos``).
+
+    Postings are dealt once, by ranges of lexeme and block: both groupings, and ``write_blocks``, take the rows from there."""
+    placed = postings.withColumn("block", block_of(ids=ids)).repartitionByRange("lexeme", "block")
+    documents = placed.groupBy("lexeme", "block", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     entry = F.struct("id", "positions")
-    return documents.groupBy("lexeme", block_of(ids=ids).alias("block")).agg(
+    return documents.groupBy("lexeme", "block").agg(
         F.max(F.size("positions")).cast("long").alias("max_hits"), F.sort_array(F.collect_list(entry)).alias("documents")
     )
 
 
 def write_blocks(rows: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
     """Store blocks sorted by lexeme and block, so that a frequent lexeme spans many files; ``mode="append"`` adds those of
-    further documents."""
+    further documents.  Rows of ``blocks`` lie in such ranges already; with ``files`` they are dealt anew."""
     keys = ["lexeme", "block"]
-    ranged = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
+    ranged = rows.repartitionByRange(files, *keys) if files else rows
     ranged.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 

@@ -188,6 +188,25 @@ def test_top_documents_equal_the_full_evaluation(spark, texts):
     assert got == [i for _, i in sorted((round(-r["text_relevance"], 10), r["id"]) for r in every)][:5]
 
 
+def test_postings_are_dealt_once_for_blocks(spark, texts):
+    """One exchange down to the stored files, and each block once, also where ids repeat."""
+    rows = s.postings(texts, stem=False)
+    made = bp.blocks(rows.unionByName(rows.where("id % 3 = 0")), 20)
+    plan = made.sortWithinPartitions("lexeme", "block")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange rangepartitioning") == 1
+    path = new_folder(spark, "blocks")
+    bp.write_blocks(made, path)
+    want = {}
+    for r in rows.collect():
+        want.setdefault((r["lexeme"], r["id"] // 20), {}).setdefault(r["id"], []).extend([r["pos"]] * (2 if r["id"] % 3 == 0 else 1))
+    got = spark.read.parquet(path).collect()
+    assert len(got) == len(want)
+    for r in got:
+        documents = {d["id"]: list(d["positions"]) for d in r["documents"]}
+        assert documents == {i: sorted(p) for i, p in want[r["lexeme"], r["block"]].items()}
+        assert r["max_hits"] == max(map(len, documents.values()))
+
+
 def test_blocks_that_cannot_reach_the_page_are_left_out(spark, texts):
     index = bp.blocks(s.postings(texts, stem=False), 20).cache()
 
