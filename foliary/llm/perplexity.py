@@ -177,7 +177,8 @@ def scored_as_they_are(rows: DataFrame, order: int) -> DataFrame:
     """As ``scored``, by models over characters as they are, counted over all documents."""
     blocks = blocked(rows, order)
     each = blocks.select("kind", "block", F.posexplode(F.arrays_zip("contexts", "symbols", "counts")).alias("at", "g"))
-    each = each.select("kind", "block", "at", F.col("g.contexts").alias("context"), F.col("g.symbols").alias("symbol"), F.col("g.counts").alias("n"))
+    # named anew: both sides of the cogroup come from one table
+    each = each.select("kind", "block", "at", "g.*").toDF("kind", "block", "at", "context", "symbol", "n")
     grams = stored(each.groupBy("kind", "context", "symbol").agg(F.sum("n").alias("n")), "perplexity-grams")
     wanted = each.drop("n").join(log_probabilities(grams, order), ["kind", "context", "symbol"])
     wanted = wanted.select("kind", "block", "at", "log_p")
