@@ -9,20 +9,30 @@ writes its own rows only, and writing it again replaces its folder, so a repeate
 Reading adds the signs up; a read of some keys opens only their buckets.  ``compacted`` writes the sums as a single batch of
 a new table, when there are many.
 
+``SignedLists`` is the same for a table of very many rows per document, such as postings: it stores a list for each
+document, bucket and batch.  Documents are shuffled, not their rows, and reading adds up again only the documents that
+a later batch touched.
+
 ``CatalogTable`` keeps documents in the same way: a batch has the new rows and the deleted ids, the latest batch of
 an id counts, and the rows before a change are looked up in the buckets of the changed ids only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 View = Callable[[DataFrame], DataFrame]
 
+# ids of changed documents that are sent to all executors at most; of more, the lists are shuffled to join them
+MOST_IDS = 1_000_000
+
 
 def signed_rows(before: DataFrame, after: DataFrame, view: View) -> DataFrame:
     """Rows of ``view`` with ``sign``: how many more there are after the change; none where it makes no difference.
@@ -60,6 +70,10 @@ class SignedTable:
     bucket_key: str
     buckets: int = 64
 
+    def write_change(self, before: DataFrame, after: DataFrame, view: View, batch: int) -> None:
+        """Store what follows from documents before and after a change."""
+        self.write_batch(signed_rows(before, after, view), batch)
+
     def write_batch(self, rows: DataFrame, batch: int) -> None:
         """Store the signed rows (with ``sign``) of a batch, in place of those it had."""
         placed = rows.select(*self.keys, "sign", _bucket(F.col(self.bucket_key), self.buckets).alias("bucket"))
@@ -86,6 +100,107 @@ class SignedTable:
         return table
 
 
+def _netted_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Lists by ``id`` and ``bucket`` from ``id, rows``: equal rows of a list are added up, and it is split by the bucket of its rows."""
+    lists = batch.column("rows")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    rows = pa.Table.from_struct_array(lists.flatten())
+    rows = rows.append_column("list", pa.array(np.repeat(np.arange(len(lists)), lengths)))
+    keys = [c for c in rows.column_names if c != "sign"]
+    # without threads the rows stay in the order in which they come
+    added = rows.group_by(keys, use_threads=False).aggregate([("sign", "sum")])
+    added = added.filter(pc.not_equal(added["sign_sum"], 0))
+    added = added.take(pc.sort_indices(added.select(["list", "bucket"]), [("list", "ascending"), ("bucket", "ascending")]))
+    of, bucket = added["list"].to_numpy(), added["bucket"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])][: len(of)])
+    names = [c for c in keys if c not in ("list", "bucket")]
+    offsets = pa.array(np.r_[starts, len(of)], pa.int32())
+    columns = [pa.ListArray.from_arrays(offsets, added[c].combine_chunks()) for c in (*names, "sign_sum")]
+    places = [batch.column("id").take(pa.array(of[starts])), pa.array(bucket[starts], pa.int32())]
+    return pa.RecordBatch.from_arrays(places + columns, names=["id", "bucket", *names, "sign"])
+
+
+@dataclass(frozen=True)
+class SignedLists:
+    """A derived table of rows of documents: its folder, the columns of a row beside ``id``, and the one that chooses the bucket.
+
+    Its view maps documents to a column, the list of the rows (structs of ``keys``) of each.  What is stored has an array for
+    each of the ``keys`` and for ``sign``: it is shuffled and compressed better than structs are."""
+
+    path: str
+    keys: tuple[str, ...]
+    bucket_key: str
+    buckets: int = 64
+
+    def _lists(self, lists: DataFrame) -> DataFrame:
+        """Lists to store from ``id, rows`` (structs of ``keys`` and ``sign``), netted; rows of one id are in one partition."""
+        joined = lists.groupBy("id").agg(F.flatten(F.collect_list("rows")).alias("rows"))
+        places = F.transform("rows", lambda r: r.withField("bucket", _bucket(r[self.bucket_key], self.buckets)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from map(_netted_lists, batches)
+
+        fields = [f"{f.name} array<{f.dataType.simpleString()}>" for f in lists.schema["rows"].dataType.elementType]
+        kind = lists.schema["id"].dataType.simpleString()
+        return joined.select("id", places.alias("rows")).mapInArrow(run, ", ".join([f"id {kind}, bucket int", *fields]))
+
+    def _write(self, lists: DataFrame, batch: int) -> None:
+        lists.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batch={batch}")
+
+    def write_change(self, before: DataFrame, after: DataFrame, view: Callable[[DataFrame], Column], batch: int) -> None:
+        """Store what follows from documents before and after a change, in place of what the batch had."""
+        sides = before.withColumn("sign", F.lit(-1)).unionByName(after.withColumn("sign", F.lit(1)))
+        # documents meet by id, then their rows are made
+        placed = sides.repartition("id")
+        signed = F.transform(view(placed), lambda r: F.struct(*[r[k].alias(k) for k in self.keys], F.col("sign").cast("long").alias("sign")))
+        self._write(self._lists(placed.select("id", signed.alias("rows"))), batch)
+
+    def _stored_lists(self, spark: SparkSession, values: Sequence | None = None) -> DataFrame:
+        lists = spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        if values is None:
+            return lists
+        kind = lists.schema[self.bucket_key].dataType.elementType.simpleString()
+        return lists.where(F.col("bucket").isin(_buckets_of(spark, values, self.buckets, kind)))
+
+    def _current_lists(self, spark: SparkSession, values: Sequence | None = None) -> DataFrame:
+        """Netted lists; those of a document that only the first batch has are netted already."""
+        lists = self._stored_lists(spark, values)
+        columns = ["id", "bucket", *self.keys, "sign"]
+        first = lists.agg(F.min("batch")).first()[0]
+        if first is None:
+            return lists.select(*columns)
+        again = lists.where(F.col("batch") > first).select("id").distinct()
+        found = again.count()
+        if not found:
+            return lists.select(*columns)
+        if found <= MOST_IDS:
+            again = F.broadcast(again)
+        same = lists["id"].eqNullSafe(again["id"])
+        changed = lists.join(again, same, "left_semi").select("id", *self.keys, "sign").repartition("id")
+        several = self._lists(changed.select("id", F.arrays_zip(*self.keys, "sign").alias("rows")))
+        return lists.join(again, same, "left_anti").select(*columns).unionByName(several)
+
+    def _rows(self, lists: DataFrame, values: Sequence | None, *others: str) -> DataFrame:
+        """Single rows of lists, their columns and ``sign``, then ``others``."""
+        names = [*self.keys, "sign"]
+        rows = lists.select("id", F.explode(F.arrays_zip(*names)).alias("r"), *others).select("id", *[f"r.{c}" for c in names], *others)
+        return rows if values is None else rows.where(F.col(self.bucket_key).isin(list(values)))
+
+    def stored(self, spark: SparkSession, values: Sequence | None = None) -> DataFrame:
+        """Signed rows of all batches; with ``values`` of the bucket key only those, from their buckets."""
+        return self._rows(self._stored_lists(spark, values), values, "batch", "bucket")
+
+    def current(self, spark: SparkSession, values: Sequence | None = None) -> DataFrame:
+        """``id``, ``keys``, ``n``: the rows as they are now, and how many times each is there."""
+        return self._rows(self._current_lists(spark, values), values).withColumnRenamed("sign", "n")
+
+    def compacted(self, spark: SparkSession, path: str) -> "SignedLists":
+        """The same rows as one batch of a table elsewhere; batches written meanwhile are not in it."""
+        table = SignedLists(path, self.keys, self.bucket_key, self.buckets)
+        table._write(self._current_lists(spark), 0)
+        return table
+
+
 @dataclass(frozen=True)
 class CatalogTable:
     """Documents by batch; of each id the row of the latest batch counts."""
@@ -101,7 +216,7 @@ class CatalogTable:
             gone = deleted.select("id").join(upserts.select("id"), "id", "left_anti").distinct()
             rows = rows.unionByName(gone.select("id", none))
         placed = rows.withColumn("bucket", _bucket(F.col("id"), self.buckets)).hint("rebalance", "bucket")
-        placed.write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        placed.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batch={batch}")
 
     def current(self, spark: SparkSession, ids: DataFrame | None = None, before_batch: int | None = None) -> DataFrame:
         """The documents as they are now, or (``before_batch``) before a batch; with ``ids`` only those."""
@@ -121,7 +236,7 @@ class CatalogTable:
 def update(
     spark: SparkSession,
     catalog: CatalogTable,
-    views: Sequence[tuple[SignedTable, View]],
+    views: Sequence[tuple[SignedTable | SignedLists, View | Callable[[DataFrame], Column]]],
     batch: int,
     upserts: DataFrame,
     deleted: DataFrame | None = None,
@@ -136,5 +251,5 @@ def update(
         ids = ids.unionByName(deleted.select("id"))
     before = upserts.limit(0) if batch == 0 else catalog.current(spark, ids, before_batch=batch)
     for table, view in views:
-        table.write_batch(signed_rows(before, upserts, view), batch)
+        table.write_change(before, upserts, view, batch)
     catalog.write_batch(upserts, batch, deleted)

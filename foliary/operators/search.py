@@ -29,11 +29,14 @@ def searchable_text() -> Column:
     return F.concat_ws(" ", "filename", "extracted_text")
 
 
+def posting_lists(stem: bool = True) -> Column:
+    """``array<struct<lexeme, pos>>`` of a document, over file name and text."""
+    return lexeme_positions(searchable_text(), stem)
+
+
 def postings(catalog: DataFrame, stem: bool = True) -> DataFrame:
     """``(id, lexeme, pos)`` over file name and text."""
-    return catalog.select(
-        "id", F.explode(lexeme_positions(searchable_text(), stem)).alias("p")
-    ).select("id", "p.lexeme", "p.pos")
+    return catalog.select("id", F.explode(posting_lists(stem)).alias("p")).select("id", "p.lexeme", "p.pos")
 
 
 def write_postings(index: DataFrame, path: str, files: int | None = None) -> None:

@@ -211,7 +211,7 @@ _CHANGED = (
 
 
 def _postings_view(df):
-    return s.postings(df, stem=False)
+    return s.posting_lists(stem=False)
 
 
 def _links_view(taxonomy):
@@ -247,7 +247,7 @@ def _after_changes(t, table_of, view, *columns):
 )
 def incremental_postings(t):
     def table(path):
-        return dl.SignedTable(path, ("lexeme", "id", "pos"), "lexeme", 16)
+        return dl.SignedLists(path, ("lexeme", "pos"), "lexeme", 16)
 
     return _after_changes(t, table, _postings_view, "filename", "extracted_text").select("id", "lexeme", "pos")
 

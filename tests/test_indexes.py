@@ -326,6 +326,61 @@ def test_work_follows_the_change(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", plan)
 
 
+def lists_table(spark, buckets=8):
+    return dl.SignedLists(new_folder(spark, "lists"), ("lexeme", "pos"), "lexeme", buckets)
+
+
+def lists_view(df):
+    return s.posting_lists(stem=False)
+
+
+@pytest.mark.parametrize("most", [0, dl.MOST_IDS])
+def test_signed_lists_equal_signed_rows(spark, monkeypatch, most):
+    """Changes, deletions, ids that repeat or are null, and texts without words; many changed ids are not broadcast."""
+    monkeypatch.setattr(dl, "MOST_IDS", most)
+    r = random.Random(8)
+    schema = "id long, filename string, extracted_text string"
+
+    def row(i):
+        return i, "", r.choice([None, "", " ".join(r.choice("abcd") * 2 for _ in range(r.randint(0, 9)))])
+
+    documents, words, _ = tables(spark)
+    lists = lists_table(spark)
+    views = [(words, words_view), (lists, lists_view)]
+    first = [row(i) for i in range(60)] + [(7, "", "xx yy xx")] * 2 + [(None, "", "no id")]
+    dl.update(spark, documents, views, 0, spark.createDataFrame(first, schema))
+    plain = ("lexeme", "id", "pos", "n")
+    assert rows_of(lists.current(spark).select(*plain)) == rows_of(words.current(spark).select(*plain))
+    for batch in (1, 2):
+        changed = [row(i) for i in r.sample(range(80), 12)] + [(None, "", "no id here")]
+        deleted = spark.createDataFrame([(i,) for i in r.sample(range(90), 6)], "id long")
+        for _ in range(2):  # a repeated batch changes nothing
+            dl.update(spark, documents, views, batch, spark.createDataFrame(changed, schema), deleted)
+    signed = ("batch", "lexeme", "id", "pos", "sign")
+    assert rows_of(lists.stored(spark).select(*signed)) == rows_of(words.stored(spark).select(*signed))
+    current = rows_of(words.current(spark).select(*plain))
+    assert rows_of(lists.current(spark).select(*plain)) == current
+    assert rows_of(lists.compacted(spark, new_folder(spark, "lists")).current(spark).select(*plain)) == current
+    assert rows_of(lists.current(spark, ["aa", "zz"])) == rows_of(lists.current(spark).where("lexeme IN ('aa', 'zz')"))
+    read = plan_of(lists.stored(spark, ["aa"]))
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", read)
+
+
+def test_signed_lists_shuffle_no_single_rows(spark):
+    """A change shuffles documents, and a read only the lists of documents that a later batch touched."""
+    documents, lists = dl.CatalogTable(new_folder(spark, "catalog"), 8), lists_table(spark)
+    first = spark.createDataFrame([(i, "", f"same words in text {i}") for i in range(300)], "id long, filename string, extracted_text string")
+    dl.update(spark, documents, [(lists, lists_view)], 0, first)
+    assert "Exchange" not in plan_of(lists.current(spark))
+    dl.update(spark, documents, [(lists, lists_view)], 1, first.where("id = 5").withColumn("extracted_text", F.lit("same words")))
+    current = lists.current(spark)
+    plan = plan_of(current)
+    assert plan.index("Exchange hashpartitioning(id") > plan.index("Generate explode") and "lexeme#" in plan
+    assert current.where("id = 5").count() == 1 and current.where("id <> 5").groupBy("id").count().where("count <> 3").isEmpty()
+    # nothing but the two words that went was written
+    assert rows_of(lists.stored(spark).where("batch = 1").select("lexeme", "sign")) == ["Row(lexeme='5', sign=-1)", "Row(lexeme='text', sign=-1)"]
+
+
 # --- facets by bitmaps -----------------------------------------------------
 
 
